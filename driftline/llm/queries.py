@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from driftline.llm import bpe
+from driftline.llm import bpe, simhash
 from driftline.llm.common import table
 
 
@@ -11,8 +11,14 @@ def op6_bpe_roundtrip(spark, sf_dir):
     return bpe.roundtrip_digests(table(spark, sf_dir, "documents"))
 
 
+def op10_simhash_near_dedup(spark, sf_dir):
+    """Fingerprint and component of every document."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op6_bpe_roundtrip": op6_bpe_roundtrip,
+    "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
