@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from driftline.llm import bpe, simhash
+from driftline.llm import bpe, packing, simhash
 from driftline.llm.common import table
 
 
+def op5_mixture_packing(spark, sf_dir):
+    """Every document's tokens in mixture-controlled sequences."""
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op6_bpe_roundtrip(spark, sf_dir):
     """Every document encoded and decoded again, as digests."""
     return bpe.roundtrip_digests(table(spark, sf_dir, "documents"))
@@ -17,6 +22,7 @@ def op10_simhash_near_dedup(spark, sf_dir):
 
 
 QUERIES = {
+    "op5_mixture_packing": op5_mixture_packing,
     "op6_bpe_roundtrip": op6_bpe_roundtrip,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
