@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from driftline.llm import bpe, packing, simhash, substring
+from driftline.llm import bpe, packing, quality_rules, simhash, substring
 from driftline.llm.common import table
 
 
@@ -16,6 +16,11 @@ def op6_bpe_roundtrip(spark, sf_dir):
     return bpe.roundtrip_digests(table(spark, sf_dir, "documents"))
 
 
+def op8_quality_outliers(spark, sf_dir):
+    """Base counts and verdict of every document."""
+    return quality_rules.verdicts(table(spark, sf_dir, "documents"))
+
+
 def op9_substring_dedup(spark, sf_dir):
     """What every document keeps once passages of 50 words that an earlier one holds are gone."""
     return substring.kept_digests(table(spark, sf_dir, "documents"))
@@ -29,6 +34,7 @@ def op10_simhash_near_dedup(spark, sf_dir):
 QUERIES = {
     "op5_mixture_packing": op5_mixture_packing,
     "op6_bpe_roundtrip": op6_bpe_roundtrip,
+    "op8_quality_outliers": op8_quality_outliers,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
