@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from driftline.llm import bpe, packing, quality_rules, simhash, substring, toxicity
+from driftline.llm import bpe, packing, quality_model, quality_rules, simhash, substring, toxicity
 from driftline.llm.common import table
 
 
@@ -11,6 +11,11 @@ def op1_toxicity_crf(spark, sf_dir):
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_quality_fourier(spark, sf_dir):
+    """Quality of every document, learned from labels outside the held-out fold."""
+    return quality_model.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_mixture_packing(spark, sf_dir):
     """Every document's tokens in mixture-controlled sequences."""
     return packing.pack(table(spark, sf_dir, "documents"))
@@ -38,6 +43,7 @@ def op10_simhash_near_dedup(spark, sf_dir):
 
 QUERIES = {
     "op1_toxicity_crf": op1_toxicity_crf,
+    "op3_quality_fourier": op3_quality_fourier,
     "op5_mixture_packing": op5_mixture_packing,
     "op6_bpe_roundtrip": op6_bpe_roundtrip,
     "op8_quality_outliers": op8_quality_outliers,
