@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from driftline.llm import bpe, packing, quality_model, quality_rules, simhash, substring, toxicity
+from driftline.llm import bpe, neighbours, packing, quality_model, quality_rules, simhash, substring, toxicity
 from driftline.llm.common import table
 
 
@@ -11,6 +11,11 @@ def op1_toxicity_crf(spark, sf_dir):
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_adaptive_scan_neighbours(spark, sf_dir):
+    """Five nearest of every fiftieth embedding, against all others."""
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op3_quality_fourier(spark, sf_dir):
     """Quality of every document, learned from labels outside the held-out fold."""
     return quality_model.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -43,6 +48,7 @@ def op10_simhash_near_dedup(spark, sf_dir):
 
 QUERIES = {
     "op1_toxicity_crf": op1_toxicity_crf,
+    "op2_adaptive_scan_neighbours": op2_adaptive_scan_neighbours,
     "op3_quality_fourier": op3_quality_fourier,
     "op5_mixture_packing": op5_mixture_packing,
     "op6_bpe_roundtrip": op6_bpe_roundtrip,
