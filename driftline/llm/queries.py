@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from driftline.llm import bpe, neighbours, packing, quality_model, quality_rules, simhash, substring, toxicity
+from driftline.llm import bpe, lines, neighbours, packing, quality_model, quality_rules, simhash, substring, toxicity
 from driftline.llm.common import table
 
 
@@ -31,6 +31,11 @@ def op6_bpe_roundtrip(spark, sf_dir):
     return bpe.roundtrip_digests(table(spark, sf_dir, "documents"))
 
 
+def op7_fuzzy_line_dedup(spark, sf_dir):
+    """What every document keeps once near-equal lines stay at their first occurrence only."""
+    return lines.kept_digests(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_outliers(spark, sf_dir):
     """Base counts and verdict of every document."""
     return quality_rules.verdicts(table(spark, sf_dir, "documents"))
@@ -52,6 +57,7 @@ QUERIES = {
     "op3_quality_fourier": op3_quality_fourier,
     "op5_mixture_packing": op5_mixture_packing,
     "op6_bpe_roundtrip": op6_bpe_roundtrip,
+    "op7_fuzzy_line_dedup": op7_fuzzy_line_dedup,
     "op8_quality_outliers": op8_quality_outliers,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
