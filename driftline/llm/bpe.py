@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import unicodedata
 from array import array
 
@@ -34,12 +35,13 @@ END_OF_WORD = "</w>"
 SPECIAL = regex.compile(r"(<\|startoftext\|>|<\|endoftext\|>)")
 WHITE = regex.compile(r"\p{White_Space}+")
 #: Characters that str.split() takes for space but the tokenizer does not.
-NOT_WHITE = regex.compile(r"[\x1c-\x1f]")
+NOT_WHITE = "\x1c\x1d\x1e\x1f"
 #: A symbol that ends a word is shifted by this many code points.
 MARK = 0x1000
 #: From here on, characters' classes differ between Unicode versions; the tokenizer's own normalizers and splitter are asked.
 STABLE = "\u0530"
-CACHE = 500_000
+UNSTABLE = re.compile("[\u0530-\U0010ffff]")
+CACHE = 900_000
 
 
 def byte_symbols() -> list[str]:
@@ -71,6 +73,8 @@ class Codec:
         self.id_of = {t: i for t, i in self.id_of.items() if len(t) == 1 or t in self.made}
         self.ends: dict[str, list[tuple[str, float]]] = {}
         self.starts: dict[str, list[tuple[str, float]]] = {}
+        self.shorter: dict[str, str] = {}
+        self.widest = max(map(len, self.id_of))
         self.longest = ahocorasick.Automaton()
         for t in self.id_of:
             self.longest.add_word(t, t)
@@ -137,59 +141,84 @@ class Codec:
             self.compatible[a, b] = found
         return found
 
-    def _shorter(self, token: str) -> str | None:
-        """The next shorter entry that begins the token."""
+    def _shorter(self, token: str) -> str:
+        """The next shorter entry that begins the token; empty if there is none."""
+        found = ""
         for n in range(len(token) - 1, 0, -1):
             if token[:n] in self.id_of:
-                return token[:n]
-        return None
+                found = token[:n]
+                break
+        self.shorter[token] = found
+        return found
 
     def encode_symbols(self, word: str) -> list[str]:
-        """Tokens of one marked word."""
+        """Tokens of one marked word: leftmost-longest entries as long as they fit together, then backtracking."""
         if word in self.id_of:
             return [word]
         greedy = [t for _, t in self.longest.iter_long(word)]
-        if sum(map(len, greedy)) == len(word) and all(map(self.pair_ok, greedy, greedy[1:])):
-            return greedy
-        return self._backtrack(word)
-
-    def _longest_at(self, word: str, at: int) -> str | None:
-        """Leftmost-longest entry beginning at a place."""
-        for end, token in self.longest.iter_long(word, at):
-            return token if end - len(token) + 1 == at else None
-        return None
-
-    def _backtrack(self, word: str) -> list[str]:
-        tokens: list[str] = []
-        dead = bytearray(len(word) + 1)
-        at, token = 0, self._longest_at(word, 0)
-        while token is not None:
+        ok = self.compatible.get
+        for k in range(1, len(greedy)):
+            pair = (greedy[k - 1], greedy[k])
+            fits = ok(pair)
+            if fits is None:
+                fits = self.pair_ok(*pair)
+            if not fits:
+                return self._backtrack(word, greedy, k)
+        return greedy
+
+    def _backtrack(self, word: str, greedy: list[str], k: int) -> list[str]:
+        """Continues where greedy token k does not fit its predecessor."""
+        tokens, token = greedy[:k], greedy[k]
+        at, n = sum(map(len, tokens)), len(word)
+        dead = bytearray(n + 1)
+        ok, pair_ok, shorter, ids = self.compatible.get, self.pair_ok, self.shorter.get, self.id_of
+        widest = self.widest
+        while True:
             end = at + len(token)
-            while True:
-                if not dead[end] and (not tokens or self.pair_ok(tokens[-1], token)):
-                    tokens.append(token)
-                    at, token = end, self._longest_at(word, end) if end < len(word) else None
-                    break
-                if (shorter := self._shorter(token)) is not None:
-                    token, end = shorter, at + len(shorter)
-                    continue
+            fits = False
+            if not dead[end]:
+                if tokens:
+                    pair = (tokens[-1], token)
+                    fits = ok(pair)
+                    if fits is None:
+                        fits = pair_ok(*pair)
+                else:
+                    fits = True
+            if fits:
+                tokens.append(token)
+                if end == n:
+                    return tokens
+                at = end
+                for stop in range(min(n, at + widest), at, -1):
+                    if (token := word[at:stop]) in ids:
+                        break
+                continue
+            less = shorter(token)
+            if less is None:
+                less = self._shorter(token)
+            while not less:  # no entry is left here: one token back
                 dead[at] = 1
                 if not tokens:
                     raise ValueError(f"no encoding of {word!r}")
                 token = tokens.pop()
                 at -= len(token)
-                end = at + len(token)
-        return tokens
+                less = shorter(token)
+                if less is None:
+                    less = self._shorter(token)
+            token = less
 
     def _word(self, piece: str) -> tuple[int, ...]:
         found = self.word_cache.get(piece)
         if found is None:
-            s = self.symbols
-            marked = "".join([s[b] for b in piece.encode()])
+            if piece.isascii() and piece.isprintable():
+                marked = piece
+            else:
+                s = self.symbols
+                marked = "".join([s[b] for b in piece.encode()])
             marked = marked[:-1] + chr(ord(marked[-1]) + MARK)
             ids = self.id_of
             found = tuple([ids[t] for t in self.encode_symbols(marked)])
-            if len(self.word_cache) >= CACHE:
+            if len(self.word_cache) >= CACHE // 2:
                 self.word_cache.clear()
             self.word_cache[piece] = found
         return found
@@ -215,11 +244,11 @@ class Codec:
     def _chunks(self, text: str) -> list[str]:
         if text.isascii():
             text = text.lower()
-        elif max(text) < STABLE:
+        elif not UNSTABLE.search(text):
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
         else:
             text = self.lower.normalize_str(self.compose.normalize_str(text))
-        if NOT_WHITE.search(text):
+        if any(c in text for c in NOT_WHITE):
             return [c for c in WHITE.split(text) if c]
         return text.split()
 
@@ -233,9 +262,14 @@ class Codec:
                 elif part:
                     out.extend(self._numbers(part))
             return out
-        get, new = self.chunk_cache.get, self._chunk
-        chunks = self._chunks(text)
-        return [new(c) if (n := get(c)) is None else n for c in chunks]
+        get, chunks = self.chunk_cache.get, self._chunks(text)
+        numbers = list(map(get, chunks))
+        if None in numbers:
+            for k, number in enumerate(numbers):
+                if number is None:
+                    number = get(chunks[k])
+                    numbers[k] = self._chunk(chunks[k]) if number is None else number
+        return numbers
 
     def encode_batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids one after another, and where each text begins (one more place at the end)."""
@@ -246,11 +280,14 @@ class Codec:
             numbers.extend(self._numbers(text))
             begins.append(len(numbers))
         number = np.frombuffer(numbers, np.int64) if numbers else np.zeros(0, np.int64)
-        offsets = np.array(self.offsets, np.int64)
-        flat = np.array(self.flat, np.uint32)
-        first, size = offsets[number], offsets[number + 1] - offsets[number]
-        ends = np.concatenate([[0], np.cumsum(size)])
-        at = np.repeat(first - ends[:-1], size) + np.arange(ends[-1])
+        # views of the growing arrays, gone before they grow again
+        offsets, flat = np.frombuffer(self.offsets, np.int64), np.frombuffer(self.flat, np.uint32) if self.flat else np.zeros(0, np.uint32)
+        first = offsets[number]
+        size = offsets[number + 1] - first
+        ends = np.zeros(len(number) + 1, np.int64)
+        np.cumsum(size, out=ends[1:])
+        at = np.repeat(first - ends[:-1], size)
+        at += np.arange(ends[-1])
         return flat[at], ends[np.array(begins)]
 
     def decode_batch(self, ids: np.ndarray, begins: np.ndarray) -> list[bytes]:

@@ -14,7 +14,6 @@ sequences whose lengths are powers of two.
 
 from __future__ import annotations
 
-import os
 import zlib
 
 import numpy as np
@@ -34,45 +33,14 @@ MOST_BUCKETS = 1 << 20
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-class LibraryCodec(bpe.Codec):
-    """The same chunk cache, filled by the tokenizers library."""
-
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        super().__init__(path)
-        self.library = Tokenizer.from_file(path)
-        self.library.no_padding()
-        self.library.no_truncation()
-
-    def prepare(self, texts: list[str]) -> None:
-        if len(self.chunk_cache) > bpe.CACHE:
-            self._reset()
-        have = self.chunk_cache
-        new = [c for c in {c for t in texts if "<|" not in t for c in self._chunks(t)} if c not in have]
-        for at in range(0, len(new), 5000):
-            some = new[at : at + 5000]
-            for chunk, e in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                have[chunk] = len(self.offsets) - 1
-                self.flat.extend(e.ids)
-                self.offsets.append(len(self.flat))
-
-
-_codecs: dict[str, LibraryCodec] = {}
-
-
 def tokens(docs: DataFrame, path: str, id_col: str, text_col: str, source_col: str) -> DataFrame:
     """doc_id, source, n, ids (little-endian 16-bit, or 32-bit where an id needs it) of every document."""
 
     def run(batches):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        if path not in _codecs:
-            _codecs[path] = LibraryCodec(path)
-        c = _codecs[path]
+        c = bpe.codec(path)
         wide = len(c.names) > 1 << 16
         for b in common.pieces(batches, 256):
             texts = bpe.strings_of(b.column(1))
-            c.prepare(texts)
             ids, begins = c.encode_batch(texts)
             raw = memoryview(np.ascontiguousarray(ids, "<u4" if wide else "<u2")).cast("B") if len(ids) else memoryview(b"")
             end = np.array([END_ID], "<u4" if wide else "<u2").tobytes()
