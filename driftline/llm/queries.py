@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from driftline.llm import bpe, lines, neighbours, packing, quality_model, quality_rules, simhash, substring, toxicity
+from driftline.llm import bpe, language_model, lines, neighbours, packing, quality_model, quality_rules, simhash, substring, toxicity
 from driftline.llm.common import table
 
 
@@ -21,6 +21,11 @@ def op3_quality_fourier(spark, sf_dir):
     return quality_model.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_attention_scores(spark, sf_dir):
+    """Model and unigram base log probabilities of every document."""
+    return language_model.scores(table(spark, sf_dir, "documents"))
+
+
 def op5_mixture_packing(spark, sf_dir):
     """Every document's tokens in mixture-controlled sequences."""
     return packing.pack(table(spark, sf_dir, "documents"))
@@ -55,6 +60,7 @@ QUERIES = {
     "op1_toxicity_crf": op1_toxicity_crf,
     "op2_adaptive_scan_neighbours": op2_adaptive_scan_neighbours,
     "op3_quality_fourier": op3_quality_fourier,
+    "op4_attention_scores": op4_attention_scores,
     "op5_mixture_packing": op5_mixture_packing,
     "op6_bpe_roundtrip": op6_bpe_roundtrip,
     "op7_fuzzy_line_dedup": op7_fuzzy_line_dedup,
