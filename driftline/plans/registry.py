@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -509,6 +510,108 @@ def filter_pivot(spark, sf_dir):
     return p.select("series_id", F.round("kf", 6).alias("kf"), F.round("ekf", 6).alias("ekf"), F.round(100 * (F.col("kf") - F.col("ekf")) / F.col("kf"), 4).alias("gain_pct"))
 
 
+# --- filters of any size: batched numpy over series, no SQL form ---------------------------------
+
+def walk_arrays(spark, sf_dir) -> DataFrame:
+    return measurements(spark, sf_dir).select("series_id", "t", F.array("y").alias("y"))
+
+
+def bent_model():
+    """Position and velocity, with a slightly bent reading of the position."""
+    from driftline.functions import catalog
+
+    return catalog.NearlyLinear()
+
+
+BENT_PRIOR = ([50.0, 0.0], [[400.0, 0.0], [0.0, 4.0]])
+
+
+@query()
+def ukf_series(spark, sf_dir):
+    """Two-state unscented filter of each user's values."""
+    from driftline.operators import kernels, series
+
+    return series.filtered(walk_arrays(spark, sf_dir), lambda: kernels.Ukf(bent_model()), *BENT_PRIOR)
+
+
+@query()
+def ekf_iterated_smoother_series(spark, sf_dir):
+    """Full-interval extended smoother with one more pass."""
+    from driftline.operators import kernels, series
+
+    return series.filtered(walk_arrays(spark, sf_dir), lambda: kernels.Ekf(bent_model()), *BENT_PRIOR, smoother="full", rounds=1)
+
+
+@query()
+def srukf_smoothed_series(spark, sf_dir):
+    """Square-root unscented filter with the gate, and its fixed-lag smoother."""
+    from driftline.operators import kernels, series
+
+    return series.filtered(walk_arrays(spark, sf_dir), lambda: kernels.SquareRootUkf(bent_model()), *BENT_PRIOR, smoother="fixed_lag", lag=10)
+
+
+@query()
+def particle_smoothed_series(spark, sf_dir):
+    """Bootstrap particle filter of a walk with heavy-tailed readings, and its lagged means."""
+    from driftline.operators import kernels, series
+
+    class Walk:
+        def propagate(self, x, t, u, rng):
+            return x + 3.0 * rng.normal(size=x.shape)
+
+        def loglik(self, y, x, t):
+            return -2.0 * np.log1p((y[0] - x[..., 0]) ** 2 / (3.0 * 625.0))
+
+    def one(s, t, y):
+        mean, _, smooth, size = kernels.particle_filter(Walk(), lambda g, n: 100.0 + 100.0 * g.normal(size=(n, 1)), s, t, y, 200, lag=5, seed=11)
+        return mean, smooth, size
+
+    return series.particle_filtered(walk_arrays(spark, sf_dir), one, 1, 5)
+
+
+@query()
+def rao_blackwell_turns(spark, sf_dir):
+    """Rao-Blackwellised filter of simulated turns: one series for each region."""
+    from driftline.functions import catalog
+    from driftline.operators import kernels, series
+    from driftline.sources import simulate
+
+    keys = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("series_id"))
+
+    def turns(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            for s in b.column(0).to_pylist():
+                t, _, y = simulate.turn_series(60, seed=100 + s)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(t), s)), pa.array(t), pa.array(list(y), pa.list_(pa.float64()))], names=["series_id", "t", "y"])
+
+    def one(s, t, y):
+        return kernels.rao_blackwell(catalog.TurnRate(), np.zeros(1), [0.0, 0, 10, 0], np.eye(4), s, t, y, 200, lag=10)
+
+    return series.particle_filtered(keys.mapInArrow(turns, "series_id long, t double, y array<double>"), one, 2, 10)
+
+
+@query()
+def accuracy_suite(spark, sf_dir):
+    """Thirteen rows of filter and problem against their baselines."""
+    from driftline.plans import suite
+
+    return suite.gate(spark, suite.suite(spark))
+
+
+@query()
+def simulated_trajectories(spark, sf_dir):
+    """Truth and measurements of the four benchmark problems."""
+    from driftline.sources import simulate
+
+    out = None
+    for name in simulate.PROBLEMS:
+        part = simulate.simulated(spark, name).select(F.lit(name).alias("problem"), "*")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def queries() -> dict:
     return dict(QUERIES)
 

@@ -36,3 +36,27 @@ def test_same_rows(spark, con, name):
     theirs = sorted(rel.select(*columns).fetchall(), key=key)
     assert len(ours) == len(theirs) and ours
     assert all(close(x, y) for a, b in zip(ours, theirs) for x, y in zip(a, b))
+
+
+@pytest.mark.parametrize("name", ["ukf_series", "ekf_iterated_smoother_series", "srukf_smoothed_series", "particle_smoothed_series"])
+def test_series_queries_give_a_row_for_each_event(spark, name):
+    rows = registry.QUERIES[name](spark, SF).collect()
+    assert len(rows) == spark.read.parquet(f"{SF}/events.parquet").count()
+    assert all(math.isfinite(v) for r in rows for v in r.x)
+
+
+def test_turns_and_trajectories(spark):
+    assert registry.QUERIES["rao_blackwell_turns"](spark, SF).count() == 5 * 60
+    assert registry.QUERIES["simulated_trajectories"](spark, SF).count() == 5001 + 2000 + 300 + 300
+
+
+def test_accuracy_suite_passes_its_gate(spark):
+    rows = registry.QUERIES["accuracy_suite"](spark, SF).collect()
+    assert len(rows) == 13 and all(r.passed for r in rows)
+
+
+def test_entry(spark):
+    import __spark_entry__ as entry
+
+    assert entry.entry(spark).count() == 1000
+    assert set(entry.oracle_sql()) <= set(entry.queries())
