@@ -10,6 +10,9 @@ within its class:
   documents, plus the output of one layer of causal self-attention, trained first on a bounded sample on the driver and
   then by every task on a fixed share of its own training documents, the results being averaged.
 
+A word's probability mixes its symbols' product and the training frequency
+of the HEAD most frequent words, which are counted over all training documents.
+
 Scoring cuts a text's symbols into blocks of STRIDE. A block attends to itself and the block
 before it: windows of 2 * STRIDE overlap by half, each symbol is scored once, and a task's windows run
 as one masked batch.
@@ -26,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftline.llm import bpe, common
-from driftline.llm.substring import _grouped, word_hashes
+from driftline.llm.substring import _grouped, _mix, _power, word_hashes
 
 STRIDE, WIDTH, HIDDEN = 16, 16, 32
 SINGLE, SHARED = 96, 31
@@ -43,6 +46,8 @@ SHARE = 16
 SMOOTH = 0.1
 #: Weight of a class's own distribution against what followed the symbol before.
 PRIOR = 10.0
+#: Words of the mixture's second part, and that part's weight.
+HEAD, MIX = 1 << 18, 0.3
 #: Tokens of a flush, about.
 FLUSH = 1_500_000
 TOKENS, TABLE, ENTRY, ANSWER, TOTAL = 3, 0, 1, 2, 4
@@ -350,6 +355,16 @@ def classes_of(sample: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     return out, fine
 
 
+def spelled(seqs: list[np.ndarray], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each word of each text (its end too) by its symbols, and where each word begins in the texts' symbols with ends."""
+    flat = np.concatenate([np.append(s, 2 * size) for s in seqs])
+    last = flat >= size
+    begins = np.concatenate([[0], np.flatnonzero(last)[:-1] + 1])
+    prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mix(flat.astype(np.uint64) + np.uint64(1)) * _power("up", len(flat)), dtype=np.uint64)])
+    ends = np.append(begins[1:], len(flat))
+    return _mix((prefix[ends] - prefix[begins]) * _power("down", len(flat) + 1)[begins]).view(np.int64), begins
+
+
 def _sequence(row_a: bytes, row_b: bytes, size: int) -> np.ndarray:
     low = np.frombuffer(row_a, np.uint16 if size <= 1 << 16 else np.uint32).astype(np.int64)
     return low + size * np.unpackbits(np.frombuffer(row_b, np.uint8), count=len(low)).astype(np.int64)
@@ -414,6 +429,29 @@ def scores(docs: DataFrame, fold: int = 10, held: int = 0, path: str | None = No
         x, y, fine, _ = Attention.blocks(*sequences(sample))
         model.train(x[:12_000], y[:12_000], fine[:12_000], 8, 6e-3)
 
+    def words(batches):
+        """Counts of the training documents' words."""
+        for b in common.pieces(batches, 4096):
+            seqs = [_sequence(a, e, size) for a, e in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+            if seqs:
+                h, n = np.unique(spelled(seqs, size)[0], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(n)], names=["i", "n"])
+
+    # the head is all words of at least some count: the counts' histogram says which count leaves at most HEAD of them
+    counted_words = common.cut_lineage(train.select("a", "b").mapInArrow(words, kind).groupBy("i").agg(F.sum("n").alias("n")))
+    level = F.floor(F.log2("n") * 8).cast("int")
+    left, least = HEAD, 1 << 30
+    for r in sorted(counted_words.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: -r.level):  # some hundred rows
+        left -= r.n
+        if left < 0:
+            break
+        least = r.level
+    head = counted_words.where(level >= least).toArrow()
+    by = np.argsort(head.column("i").to_numpy())
+    head_words, head_share = head.column("i").to_numpy()[by], head.column("n").to_numpy()[by].astype(float)
+    head_share = head_share / max(1.0, head_share.sum())
+    mix = MIX if len(head_words) else 0.0
+
     def local(batches):
         """The task's own steps over its share of training documents, and their number of blocks."""
         seqs, mine = [], Attention(pairs)
@@ -446,8 +484,18 @@ def scores(docs: DataFrame, fold: int = 10, held: int = 0, path: str | None = No
             seqs = [_sequence(a, e, size) for a, e in zip(b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True)]
             classes, before = sequences(seqs)
             x, y, fine, of = Attention.blocks(classes, before)
-            total = np.bincount(of, model.log_probs(x, y, fine).sum(1), minlength=len(seqs))
-            total += np.array([within_class(s, c[:-1], f[:-1]).sum() for s, c, f in zip(seqs, classes, before, strict=True)])
+            each = model.log_probs(x, y, fine)[y >= 0]
+            ends = np.cumsum([len(c) for c in classes])
+            inner = np.ones(len(each), bool)
+            inner[ends - 1] = False
+            each[inner] += within_class(np.concatenate(seqs), np.concatenate(classes)[inner], np.concatenate(before)[inner])
+            h, begins = spelled(seqs, size)
+            word = np.add.reduceat(each, begins)
+            if mix:
+                at = np.minimum(np.searchsorted(head_words, h), len(head_words) - 1)
+                share = np.where(head_words[at] == h, head_share[at], 0.0)
+                word = np.logaddexp(word + np.log1p(-mix), np.log(np.maximum(share * mix, 1e-300)))
+            total = np.bincount(np.searchsorted(ends, begins, "right"), word, minlength=len(seqs))
             yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(4)], pa.array(total / np.log(10)), pa.array([len(s) for s in seqs], pa.int64())], names=["flush", "k", "doc_id", "held", "score", "n_symbols"])
 
     of_model = tokens.mapInArrow(scored, "flush long, k int, doc_id long, held boolean, score double, n_symbols long")
