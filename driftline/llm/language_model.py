@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftline.llm import bpe, common
-from driftline.llm.substring import _grouped, _mix, _power, word_hashes
+from driftline.llm.substring import _grouped, _mix, _power, _words, word_hashes
 
 STRIDE, WIDTH, HIDDEN = 16, 16, 32
 SINGLE, SHARED = 96, 31
@@ -49,7 +49,7 @@ PRIOR = 10.0
 #: Words of the mixture's second part, and that part's weight.
 HEAD, MIX = 1 << 18, 0.3
 #: Tokens of a flush, about.
-FLUSH = 1_500_000
+FLUSH = 750_000
 TOKENS, TABLE, ENTRY, ANSWER, TOTAL = 3, 0, 1, 2, 4
 _KIND = "key long, kind int, flush long, k int, doc_id long, held boolean, a binary, b binary, c binary"
 _TYPES = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.binary()]
@@ -64,6 +64,12 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 _codecs: dict[str, bpe.Codec] = {}
 
 
+def _release() -> None:
+    """Lets go of the kept encodings and word hashes: the later passes over a worker's documents need neither."""
+    _codecs.clear()
+    _words.clear()
+
+
 class Symbols:
     """Symbols of texts: subword id, plus the vocabulary's size if the subword ends a word."""
 
@@ -76,7 +82,7 @@ class Symbols:
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All symbols one after another, and where each text begins."""
         c = self.codec
-        if len(c.chunk_cache) > bpe.CACHE:
+        if len(c.chunk_cache) > bpe.CACHE // 2:
             c._reset()
         number, begins, get = [], [0], c.chunk_cache.get
         for t in texts:
@@ -111,7 +117,7 @@ class Symbols:
 _SPACES = {i: " " for i in (*range(9, 14),)}
 
 
-class _Words:
+class _Gathered:
     """Words of some documents, gathered until there are enough, and the rows they become."""
 
     def __init__(self, buckets: int):
@@ -159,7 +165,7 @@ def gathered(docs: DataFrame, fold: int, held: int, path: str, id_col: str, text
     buckets = max(64, 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def run(batches):
-        symbols, words = Symbols(path), _Words(buckets)
+        symbols, words = Symbols(path), _Gathered(buckets)
         for b in common.pieces(batches, 256):
             texts = common.texts_of(b.column(1))
             ids, begins = symbols.encode(texts)
@@ -280,12 +286,13 @@ class Attention:
     def log_probs(self, x: np.ndarray, y: np.ndarray, fine: np.ndarray) -> np.ndarray:
         """Natural log probability of each block's targets, in the shape of y, 0 where there is none."""
         out = np.zeros(y.shape)
-        for at in range(0, len(x), 512):
-            logits = self.forward(x[at : at + 512], fine[at : at + 512])
-            target = np.maximum(y[at : at + 512].ravel(), 0)
+        step = 128  # blocks whose logits stay in cache
+        for at in range(0, len(x), step):
+            logits = self.forward(x[at : at + step], fine[at : at + step])
+            target = np.maximum(y[at : at + step].ravel(), 0)
             chosen = logits[np.arange(len(logits)), target].astype(np.float64)
             np.exp(logits, out=logits)
-            out[at : at + 512] = (chosen - np.log(logits.sum(1, dtype=np.float64))).reshape(-1, STRIDE)
+            out[at : at + step] = (chosen - np.log(logits.sum(1, dtype=np.float64))).reshape(-1, STRIDE)
         return np.where(y >= 0, out, 0.0)
 
     def gradients(self, x: np.ndarray, y: np.ndarray, fine: np.ndarray) -> dict[str, np.ndarray]:
@@ -395,6 +402,7 @@ def scores(docs: DataFrame, fold: int = 10, held: int = 0, path: str | None = No
 
     def counted(batches):
         """Counts of the training documents: of symbols, and after them of (symbol before, class), (symbol before, symbol)."""
+        _release()
         total = np.zeros(2 * size + of_class + of_pair, np.int64)
         for b in common.pieces(batches):
             seqs = [_sequence(a, e, size) for a, e in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
@@ -431,7 +439,8 @@ def scores(docs: DataFrame, fold: int = 10, held: int = 0, path: str | None = No
 
     def words(batches):
         """Counts of the training documents' words."""
-        for b in common.pieces(batches, 4096):
+        _release()
+        for b in common.pieces(batches, 512):
             seqs = [_sequence(a, e, size) for a, e in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
             if seqs:
                 h, n = np.unique(spelled(seqs, size)[0], return_counts=True)
@@ -478,6 +487,7 @@ def scores(docs: DataFrame, fold: int = 10, held: int = 0, path: str | None = No
         model.load(v[:-1] / v[-1])
 
     def scored(batches):
+        _release()
         for b in common.pieces(batches):
             if not b.num_rows:
                 continue
