@@ -41,7 +41,7 @@ MARK = 0x1000
 #: From here on, characters' classes differ between Unicode versions; the tokenizer's own normalizers and splitter are asked.
 STABLE = "\u0530"
 UNSTABLE = re.compile("[\u0530-\U0010ffff]")
-CACHE = 900_000
+CACHE = 700_000
 
 
 def byte_symbols() -> list[str]:
@@ -305,6 +305,7 @@ _codecs: dict[str, Codec] = {}
 
 def codec(path: str) -> Codec:
     """One codec for each process and path; the vocabulary has a fixed size."""
+    common.claim("codec", _codecs.clear)
     if path not in _codecs:
         _codecs[path] = Codec(path)
     return _codecs[path]

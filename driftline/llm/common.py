@@ -55,3 +55,17 @@ def pieces(batches, rows: int = 512):
 def remainder(col, modulus: int):
     """crc32 of the decimal text of an id, modulo a number."""
     return F.crc32(col.cast("string").cast("binary")) % F.lit(modulus)
+
+
+_owner: list = [None, None]
+
+
+def claim(owner: str, release) -> None:
+    """Says that a worker's kept values are ``owner``'s from now on; another owner's are released.
+
+    Python workers outlive their tasks, so the stages of a pipeline would otherwise add up.
+    """
+    if _owner[0] != owner:
+        if _owner[1] is not None:
+            _owner[1]()
+        _owner[:] = [owner, release]
