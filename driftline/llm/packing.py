@@ -52,16 +52,15 @@ def tokens(docs: DataFrame, path: str, id_col: str, text_col: str, source_col: s
     return kept.mapInArrow(run, "doc_id long, source string, n long, ids binary")
 
 
-def carried(totals: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
+def carried(totals: DataFrame, whole: int, targets: dict[str, float] | None = None) -> DataFrame:
     """bucket, source, share, deficit: the deficits with which each bucket starts.
 
-    ``totals`` has bucket, source, n. After the buckets before it a source is owed its share of all
+    ``totals`` has bucket, source, n; ``whole`` is the sum of all n. After the buckets before it a source is owed its share of all
     their tokens, less its own. Shares are the given targets, or the whole input's. The running
     sums sort one row for each bucket (and source); there are at most MOST_BUCKETS.
     """
     if targets is None:
-        whole = totals.agg(F.sum("n").alias("whole"))
-        sources = totals.groupBy("source").agg(F.sum("n").alias("own")).join(F.broadcast(whole), how="cross").select("source", (F.col("own") / F.col("whole")).alias("share"))  # whole is one row
+        sources = totals.groupBy("source").agg((F.sum("n") / F.lit(float(max(whole, 1)))).alias("share"))
     else:
         share = F.create_map([F.lit(x) for kv in targets.items() for x in kv])[F.col("source")] if targets else F.lit(0.0)
         sources = totals.select("source").distinct().select("source", F.coalesce(share.cast("double"), F.lit(0.0)).alias("share"))
@@ -152,7 +151,7 @@ def pack(docs: DataFrame, targets: dict[str, float] | None = None, path: str | N
     tok = tok.withColumn("bucket", F.pmod("spread", F.lit(buckets)).cast("int"))
     totals = common.cut_lineage(tok.groupBy("bucket", "source").agg(F.sum("n").alias("n")))
     no = F.lit(None)
-    starts = carried(totals, targets).select("bucket", F.lit(0).alias("kind"), no.cast("long").alias("spread"), no.cast("long").alias("doc_id"), "source", no.cast("long").alias("n"), no.cast("binary").alias("ids"), "share", "deficit")
+    starts = carried(totals, whole, targets).select("bucket", F.lit(0).alias("kind"), no.cast("long").alias("spread"), no.cast("long").alias("doc_id"), "source", no.cast("long").alias("n"), no.cast("binary").alias("ids"), "share", "deficit")
     rows = tok.select("bucket", F.lit(1).alias("kind"), "spread", "doc_id", "source", "n", "ids", no.cast("double").alias("share"), no.cast("double").alias("deficit"))
 
     def bucket_of(bucket: int, start: list[dict], docs_: list[tuple]):
