@@ -36,11 +36,12 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 #: Kept word hashes of a worker; the cache is emptied when it is full.
-CACHE = 600_000
+CACHE = 500_000
 _words: dict[bytes, int] = {}
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
+    common.claim("words", _words.clear)
     if len(_words) > CACHE:
         _words.clear()
     get, h = _words.get, xxhash.xxh64_intdigest
@@ -158,18 +159,24 @@ class _Flush:
         if len(settled):
             out.append((number % self.buckets, ANSWER, number, settled.astype(np.int32).tobytes(), b"", b""))
         bucket = (h[entry] % np.uint64(self.buckets)).astype(np.int64)
-        by_bucket = np.argsort(bucket, kind="stable")
+        by_bucket = np.lexsort((entry_place, bucket))  # by place, so that differences are small and owners come in runs
         ends = np.searchsorted(bucket[by_bucket], np.arange(self.buckets + 1))
         for k in range(self.buckets):
             at = entry[by_bucket[ends[k] : ends[k + 1]]]
             if len(at):
                 p = entry_place[by_bucket[ends[k] : ends[k + 1]]].astype(np.int32)
-                out.append((k, ENTRY, number, h[at].tobytes(), p.tobytes(), doc[at].tobytes() if self.windows else b""))
+                out.append((k, ENTRY, number, h[at].tobytes(), np.diff(p, prepend=np.int32(0)).tobytes(), _runs(doc[at]).tobytes() if self.windows else b""))
         self.number += 1
         self._clear()
         yield _batch(out)
 
 
+def _runs(x: np.ndarray) -> np.ndarray:
+    """Values and lengths of runs of equal values."""
+    at = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
+    return np.stack([x[at], np.diff(np.append(at, len(x)))])
+
+
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     types = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=_NAMES)
@@ -197,9 +204,9 @@ def _meet(batches, windows: bool):
         if not entries:
             continue
         h = np.concatenate([np.frombuffer(r[3], np.uint64) for r in entries])
-        place = np.concatenate([np.frombuffer(r[4], np.int32) for r in entries])
+        place = np.concatenate([np.cumsum(np.frombuffer(r[4], np.int32), dtype=np.int32) for r in entries])
         flush = np.repeat([r[2] for r in entries], [len(r[3]) // 8 for r in entries])
-        doc = np.concatenate([np.frombuffer(r[5], np.int64) for r in entries]) if windows else flush
+        doc = np.concatenate([np.repeat(*np.frombuffer(r[5], np.int64).reshape(2, -1)) for r in entries]) if windows else flush
         order = np.lexsort((doc, h))
         h, place, flush, doc = h[order], place[order], flush[order], doc[order]
         new = np.concatenate([[True], h[1:] != h[:-1]])
