@@ -35,6 +35,8 @@ CUTOFF = 60.0
 #: Smaller groups are pooled.
 LEAST_GROUP = 100
 STEPS = 3
+#: Estimates of at most so many groups are broadcast; more are joined by a shuffle and the rows dealt out evenly again.
+BROADCAST_GROUPS = 10_000
 
 
 def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", keep: list[str] | None = None) -> DataFrame:
@@ -102,6 +104,13 @@ def _cholesky(cov: list[list[Column]], names: str) -> tuple[list[list[str]], lis
 KEY = ["g_lang", "g_source"]
 
 
+def _by_group(rows: DataFrame, estimates: DataFrame) -> DataFrame:
+    """The rows with their group's estimates; ``estimates`` has been computed and has a row for each group."""
+    if estimates.count() <= BROADCAST_GROUPS:
+        return rows.join(F.broadcast(estimates), KEY)
+    return rows.join(estimates, KEY).hint("rebalance")
+
+
 def _moments(rows: DataFrame) -> DataFrame:
     """Location, scatter's Cholesky factor of each group's rows, one row for each group."""
     p = len(FEATURES)
@@ -122,7 +131,7 @@ def _moments(rows: DataFrame) -> DataFrame:
 def _with_distance(stats: DataFrame, estimates: DataFrame) -> DataFrame:
     """Adds the squared Mahalanobis distance: forward substitution with the factor, a column for each step."""
     p = len(FEATURES)
-    out = stats.join(estimates, KEY)
+    out = _by_group(stats, estimates)
     for i in range(p):
         rest = sum((F.col(f"l{i}_{k}") * F.col(f"y{k}") for k in range(i)), F.lit(0.0))
         out = out.withColumn(f"y{i}", (F.col("z")[i] - F.col("m")[i] - rest) / F.col(f"l{i}_{i}"))
@@ -132,24 +141,24 @@ def _with_distance(stats: DataFrame, estimates: DataFrame) -> DataFrame:
 def outlier_distances(stats: DataFrame) -> DataFrame:
     """The rows with ``d``: squared robust distance from their group, scaled so that its median is chi-square's."""
     p = len(FEATURES)
-    sizes = stats.groupBy(*KEY).agg(F.count(F.lit(1)).alias("rows"))
+    sizes = cut_lineage(stats.groupBy(*KEY).agg(F.count(F.lit(1)).alias("rows")))
     small = F.col("rows") < LEAST_GROUP
-    stats = stats.join(sizes, KEY).withColumns({k: F.when(small, F.lit("*")).otherwise(F.col(k)) for k in KEY}).drop("rows")
+    stats = _by_group(stats, sizes).withColumns({k: F.when(small, F.lit("*")).otherwise(F.col(k)) for k in KEY}).drop("rows")
     stats = cut_lineage(stats.withColumn("z", F.array(*features())))
     middle = stats.groupBy(*KEY).agg(*[F.percentile_approx(F.col("z")[i], 0.5, 2000).alias(f"m{i}") for i in range(p)])
     middle = cut_lineage(middle.select(*KEY, F.array(*[f"m{i}" for i in range(p)]).alias("m")))
-    away = stats.join(middle, KEY)
+    away = _by_group(stats, middle)
     spread = away.groupBy(*KEY).agg(*[F.percentile_approx(F.abs(F.col("z")[i] - F.col("m")[i]), 0.5, 2000).alias(f"a{i}") for i in range(p)])
-    first = middle.join(spread, KEY)
+    first = cut_lineage(middle.join(spread, KEY))
     scaled = [(F.col("z")[i] - F.col("m")[i]) / F.sqrt(F.pow(1.4826 * F.col(f"a{i}"), 2) + FLOORS[i] ** 2) for i in range(p)]
-    d = stats.join(cut_lineage(first), KEY).withColumn("d", reduce(lambda a, b: a + b, [s * s for s in scaled])).select(*stats.columns, "d")
+    d = _by_group(stats, first).withColumn("d", reduce(lambda a, b: a + b, [s * s for s in scaled])).select(*stats.columns, "d")
     for _ in range(STEPS):
         bound = d.groupBy(*KEY).agg(F.percentile_approx("d", SUBSET, 2000).alias("bound"))
         bound = cut_lineage(bound)
-        estimates = cut_lineage(_moments(d.join(bound, KEY).where("d <= bound")))
+        estimates = cut_lineage(_moments(_by_group(d, bound).where("d <= bound")))
         d = _with_distance(stats, estimates)
     scale = cut_lineage(d.groupBy(*KEY).agg(F.percentile_approx("d", 0.5, 2000).alias("half")))
-    return d.join(scale, KEY).withColumn("d", F.col("d") * CHI2_MEDIAN / F.greatest(F.col("half"), F.lit(CHI2_MEDIAN / 4))).drop("half", "z")
+    return _by_group(d, scale).withColumn("d", F.col("d") * CHI2_MEDIAN / F.greatest(F.col("half"), F.lit(CHI2_MEDIAN / 4))).drop("half", "z")
 
 
 def judged(docs: DataFrame, cutoff: float = CUTOFF, keep: list[str] | None = None, **columns) -> DataFrame:
