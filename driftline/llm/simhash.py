@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from driftline.llm import common, hamming
 from driftline.llm.components import components
+from driftline.llm.substring import _mix
 
 SEED = 42
 BITS = 64
@@ -27,6 +28,10 @@ BITS = 64
 _OF_BYTE = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 #: Cost of a stored or probing row against that of a compared pair.
 ROW_COST = 60.0
+#: Keys of a shingle set, and least hashed shingles of a key: a pair of similarity 0.8 shares a key in all but 0.04 % of cases.
+KEYS, EACH = 20, 5
+_FLIP, _ODD = np.random.default_rng(11).integers(0, 1 << 63, (2, KEYS * EACH), dtype=np.uint64)
+_ODD |= np.uint64(1)
 
 
 def majority(hashes: np.ndarray) -> int:
@@ -37,18 +42,24 @@ def majority(hashes: np.ndarray) -> int:
     return int.from_bytes(np.packbits((counts.ravel() * 2 > n)).tobytes(), "big")
 
 
-def fingerprint(text: bytes, shingle: int = 3) -> int:
-    """SimHash of a text's shingles, repeats included; zero if it has no word."""
+def shingle_hashes(text: bytes, shingle: int = 3) -> np.ndarray:
+    """Hashes of a text's shingles, repeats included; none if it has no word."""
     words = text.lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined, h = b" ".join(words), xxhash.xxh64_intdigest
     if len(words) < shingle:
-        return majority(np.array([h(joined, SEED)], np.uint64))
+        return np.array([h(joined, SEED)], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     a, e = starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist()
-    return majority(np.array([h(joined[i:j], SEED) for i, j in zip(a, e, strict=True)], np.uint64))
+    return np.array([h(joined[i:j], SEED) for i, j in zip(a, e, strict=True)], np.uint64)
+
+
+def fingerprint(text: bytes, shingle: int = 3) -> int:
+    """SimHash of a text's shingles, repeats included; zero if it has no word."""
+    hashes = shingle_hashes(text, shingle)
+    return majority(hashes) if len(hashes) else 0
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -172,3 +183,77 @@ def near_duplicates(docs: DataFrame, most: int = 3, shingle: int = 3, id_col: st
     fps = common.cut_lineage(fingerprints(docs, shingle, id_col, text_col))
     classes = linked_components(fps, most)
     return fps.join(classes.select("fp", "component"), "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+def _set_of(text: bytes, shingle: int) -> tuple[np.ndarray, int]:
+    """A text's distinct shingle hashes, and a hash of them."""
+    some = np.unique(shingle_hashes(text, shingle))
+    return some, int(_mix(some).sum(dtype=np.uint64).view(np.int64))
+
+
+def _set_keys(some: np.ndarray, rows: int = 4096) -> bytes:
+    least = np.full(len(_ODD), 2**64 - 1, np.uint64)
+    for at in range(0, len(some), rows):
+        least = np.minimum(least, ((some[at : at + rows, None] ^ _FLIP) * _ODD).min(0))
+    parts, key = least.reshape(KEYS, EACH), np.arange(1, KEYS + 1, dtype=np.uint64)
+    for k in range(EACH):
+        key = _mix(key ^ parts[:, k])
+    return key.tobytes()
+
+
+def similar_documents(docs: DataFrame, least: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text", block: int = hamming.BLOCK) -> DataFrame:
+    """doc_id and component_id (least id reachable over links) of every row with an id.
+
+    Documents link whose sets of word shingles have a Jaccard similarity of at least ``least``, which is
+    computed exactly for those that share a key; equal sets, empty ones too, are one.
+    """
+
+    def first(batches):
+        for b in common.pieces(batches):
+            out = [_set_of(t, shingle) for t in common.texts_of(b.column(1))]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([h for _, h in out], pa.int64()), pa.array([_set_keys(x) if len(x) else b"" for x, _ in out], pa.binary())], names=["doc_id", "node", "keys"])
+
+    texts = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).where("doc_id is not null")
+    every = common.cut_lineage(texts.mapInArrow(first, "doc_id long, node long, keys binary"))
+    distinct = every.groupBy("node").agg(F.min("doc_id").alias("head"), F.first("keys").alias("keys"))
+
+    def exploded(batches):
+        for b in common.pieces(batches, 2048):
+            keys = [np.frombuffer(k, np.int64) for k in b.column(1).to_pylist()]
+            node = np.repeat(b.column(0).to_numpy(), [len(k) for k in keys])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*keys, np.zeros(0, np.int64)])), pa.array(node)], names=["key", "node"])
+
+    keyed = distinct.select("node", "keys").mapInArrow(exploded, "key long, node long")
+    # keys that bring the same documents together are one
+    sets = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum((F.xxhash64("node") % F.lit(1 << 40)).cast("decimal(38,0)")).alias("h")).where("n > 1").select("key", F.xxhash64("n", "h").alias("one"))
+    members = common.cut_lineage(keyed.join(sets, "key").select(F.col("one").alias("key"), "node").distinct())
+
+    def again(batches):
+        for b in common.pieces(batches):
+            out = [_set_of(t, shingle) for t in common.texts_of(b.column(1))]
+            yield pa.RecordBatch.from_arrays([pa.array([h for _, h in out], pa.int64()), pa.array([x.tobytes() for x, _ in out], pa.binary()), b.column(0)], names=["is", "shingles", "node"])
+
+    wanted = distinct.select("node", "head").join(members.select("node").distinct(), "node", "left_semi").select("node", F.col("head").alias("doc_id"))
+    found = texts.join(wanted, "doc_id").select("node", "text").mapInArrow(again, "is long, shingles binary, node long").where("is = node").select("node", "shingles").dropDuplicates(["node"])
+
+    def verified(batches):
+        for r, p, node, shingles in hamming.whole_runs(batches, 4, 5_000):
+            r, p, node = r.to_numpy(), p.to_numpy(), node.to_numpy()
+            each = [np.frombuffer(x, np.uint64) for x in shingles.to_pylist()]
+            size = np.array([len(x) for x in each])
+
+            def linked(i, j, each=each, size=size):
+                ok = np.minimum(size[i], size[j]) >= least * np.maximum(size[i], size[j]) - 1e-9
+                for k in np.flatnonzero(ok).tolist():
+                    both = len(np.intersect1d(each[i[k]], each[j[k]], assume_unique=True))
+                    ok[k] = both >= least * (size[i[k]] + size[j[k]] - both) - 1e-9
+                return ok
+
+            a, b = hamming.forest_of_runs(r, p, node, linked)
+            yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], names=["u", "v"])
+
+    pairs = hamming.blocked(members.withColumn("fp", F.lit(0).cast("long")).join(found, "node").select("key", "fp", "node", "shingles"), block).select("run", "part", "node", "shingles")
+    of = components(pairs.repartition("run").sortWithinPartitions("run").mapInArrow(verified, "u long, v long"))
+    joined = distinct.select("node", "head").join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    heads = joined.groupBy("component").agg(F.min("head").alias("component_id"))
+    return every.select("doc_id", "node").join(joined.join(heads, "component").select("node", "component_id"), "node").select("doc_id", "component_id")
