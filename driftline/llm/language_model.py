@@ -10,8 +10,8 @@ within its class:
   documents, plus the output of one layer of causal self-attention, trained first on a bounded sample on the driver and
   then by every task on a fixed share of its own training documents, the results being averaged.
 
-A word's probability mixes its symbols' product and the training frequency
-of the HEAD most frequent words, which are counted over all training documents.
+A word's probability mixes its symbols' product and its frequency in all training documents,
+which comes with the unigram base's counts.
 
 Scoring cuts a text's symbols into blocks of STRIDE. A block attends to itself and the block
 before it: windows of 2 * STRIDE overlap by half, each symbol is scored once, and a task's windows run
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftline.llm import bpe, common
-from driftline.llm.substring import _grouped, _mix, _power, _words, word_hashes
+from driftline.llm.substring import _grouped, _words, word_hashes
 
 STRIDE, WIDTH, HIDDEN = 16, 16, 32
 SINGLE, SHARED = 96, 31
@@ -46,8 +46,8 @@ SHARE = 16
 SMOOTH = 0.1
 #: Weight of a class's own distribution against what followed the symbol before.
 PRIOR = 10.0
-#: Words of the mixture's second part, and that part's weight.
-HEAD, MIX = 1 << 18, 0.3
+#: Weight of the words' frequencies in the mixture.
+MIX = 0.3
 #: Tokens of a flush, about.
 FLUSH = 750_000
 TOKENS, TABLE, ENTRY, ANSWER, TOTAL = 3, 0, 1, 2, 4
@@ -145,9 +145,7 @@ class _Gathered:
         size = np.array([len(h) for h in self.hashes])
         unique, word = np.unique(np.concatenate(self.hashes), return_inverse=True)
         counts = np.bincount(word, weights=np.repeat(self.train, size), minlength=len(unique)).astype(np.int64)
-        pair, times = np.unique(np.repeat(np.arange(self.docs), size) * len(unique) + word, return_counts=True)
-        of = np.bincount(pair // len(unique), minlength=self.docs)
-        out = [(self.number % self.buckets, TABLE, self.number, None, None, None, np.concatenate([size, of]).astype(np.int32).tobytes(), (pair % len(unique)).astype(np.int32).tobytes(), times.astype(np.int32).tobytes())]
+        out = [(self.number % self.buckets, TABLE, self.number, None, None, None, size.astype(np.int32).tobytes(), word.astype(np.int32).tobytes(), None)]
         bucket = (unique % np.uint64(self.buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         ends = np.searchsorted(bucket[order], np.arange(self.buckets + 1))
@@ -207,20 +205,22 @@ def _met(batches):
 
 
 def _bases(batches):
-    """flush, k, n_tokens, n_known, logs (sum of log10(count + 0.1)) of each document."""
+    """flush, k, n_tokens, n_known, logs (sum of log10(count + 0.1)), counts (of each word, float32) of each document."""
     for rows in _grouped(batches, 2):
         table = next(r for r in rows if r[1] == TABLE)
-        size, of = np.frombuffer(table[6], np.int32).reshape(2, -1)
-        pair, times = np.frombuffer(table[7], np.int32), np.frombuffer(table[8], np.int32)
-        answers = [r for r in rows if r[1] == ANSWER]
-        count = np.zeros(int(pair.max()) + 1, np.int64)
-        for r in answers:
-            count[np.frombuffer(r[7], np.int32)] = np.frombuffer(r[6], np.int64)
-        doc = np.repeat(np.arange(len(size)), of)
-        c = count[pair]
-        known = np.bincount(doc, weights=times * (c > 0), minlength=len(size)).astype(np.int64)
-        logs = np.bincount(doc, weights=times * np.log10(c + SMOOTH), minlength=len(size))
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(size), rows[0][2])), pa.array(np.arange(len(size), dtype=np.int32)), pa.array(size.astype(np.int64)), pa.array(known), pa.array(logs)], names=["flush", "k", "n_tokens", "n_known", "logs"])
+        size, word = np.frombuffer(table[6], np.int32), np.frombuffer(table[7], np.int32)
+        count = np.zeros(int(word.max()) + 1, np.int64)
+        for r in rows:
+            if r[1] == ANSWER:
+                count[np.frombuffer(r[7], np.int32)] = np.frombuffer(r[6], np.int64)
+        doc, c = np.repeat(np.arange(len(size)), size), count[word]
+        known = np.bincount(doc, weights=c > 0, minlength=len(size)).astype(np.int64)
+        logs = np.bincount(doc, weights=np.log10(c + SMOOTH), minlength=len(size))
+        ends = np.cumsum(size)
+        for at in range(0, len(size), 512):
+            to = slice(at, at + 512)
+            counts = [c[e - n : e].astype(np.float32).tobytes() for e, n in zip(ends[to].tolist(), size[to].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(counts), rows[0][2])), pa.array(np.arange(at, at + len(counts), dtype=np.int32)), pa.array(size[to].astype(np.int64)), pa.array(known[to]), pa.array(logs[to]), pa.array(counts, pa.binary())], names=["flush", "k", "n_tokens", "n_known", "logs", "counts"])
 
 
 class Attention:
@@ -362,14 +362,10 @@ def classes_of(sample: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     return out, fine
 
 
-def spelled(seqs: list[np.ndarray], size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each word of each text (its end too) by its symbols, and where each word begins in the texts' symbols with ends."""
+def word_begins(seqs: list[np.ndarray], size: int) -> np.ndarray:
+    """Where each word of each text (its end too) begins in the texts' symbols with ends."""
     flat = np.concatenate([np.append(s, 2 * size) for s in seqs])
-    last = flat >= size
-    begins = np.concatenate([[0], np.flatnonzero(last)[:-1] + 1])
-    prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mix(flat.astype(np.uint64) + np.uint64(1)) * _power("up", len(flat)), dtype=np.uint64)])
-    ends = np.append(begins[1:], len(flat))
-    return _mix((prefix[ends] - prefix[begins]) * _power("down", len(flat) + 1)[begins]).view(np.int64), begins
+    return np.concatenate([[0], np.flatnonzero(flat >= size)[:-1] + 1])
 
 
 def _sequence(row_a: bytes, row_b: bytes, size: int) -> np.ndarray:
@@ -437,30 +433,6 @@ def scores(docs: DataFrame, fold: int = 10, held: int = 0, path: str | None = No
         x, y, fine, _ = Attention.blocks(*sequences(sample))
         model.train(x[:12_000], y[:12_000], fine[:12_000], 8, 6e-3)
 
-    def words(batches):
-        """Counts of the training documents' words."""
-        _release()
-        for b in common.pieces(batches, 512):
-            seqs = [_sequence(a, e, size) for a, e in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
-            if seqs:
-                h, n = np.unique(spelled(seqs, size)[0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(n)], names=["i", "n"])
-
-    # the head is all words of at least some count: the counts' histogram says which count leaves at most HEAD of them
-    counted_words = common.cut_lineage(train.select("a", "b").mapInArrow(words, kind).groupBy("i").agg(F.sum("n").alias("n")))
-    level = F.floor(F.log2("n") * 8).cast("int")
-    left, least = HEAD, 1 << 30
-    for r in sorted(counted_words.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: -r.level):  # some hundred rows
-        left -= r.n
-        if left < 0:
-            break
-        least = r.level
-    head = counted_words.where(level >= least).toArrow()
-    by = np.argsort(head.column("i").to_numpy())
-    head_words, head_share = head.column("i").to_numpy()[by], head.column("n").to_numpy()[by].astype(float)
-    head_share = head_share / max(1.0, head_share.sum())
-    mix = MIX if len(head_words) else 0.0
-
     def local(batches):
         """The task's own steps over its share of training documents, and their number of blocks."""
         seqs, mine = [], Attention(pairs)
@@ -499,16 +471,13 @@ def scores(docs: DataFrame, fold: int = 10, held: int = 0, path: str | None = No
             inner = np.ones(len(each), bool)
             inner[ends - 1] = False
             each[inner] += within_class(np.concatenate(seqs), np.concatenate(classes)[inner], np.concatenate(before)[inner])
-            h, begins = spelled(seqs, size)
-            word = np.add.reduceat(each, begins)
-            if mix:
-                at = np.minimum(np.searchsorted(head_words, h), len(head_words) - 1)
-                share = np.where(head_words[at] == h, head_share[at], 0.0)
-                word = np.logaddexp(word + np.log1p(-mix), np.log(np.maximum(share * mix, 1e-300)))
-            total = np.bincount(np.searchsorted(ends, begins, "right"), word, minlength=len(seqs))
-            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(4)], pa.array(total / np.log(10)), pa.array([len(s) for s in seqs], pa.int64())], names=["flush", "k", "doc_id", "held", "score", "n_symbols"])
-
-    of_model = tokens.mapInArrow(scored, "flush long, k int, doc_id long, held boolean, score double, n_symbols long")
+            begins = word_begins(seqs, size)
+            word = np.add.reduceat(each, begins).astype(np.float32)
+            cut = np.searchsorted(begins, np.concatenate([[0], ends]))
+            logs = [word[i:j].tobytes() for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(4)], pa.array(logs, pa.binary()), pa.array([len(s) for s in seqs], pa.int64())], names=["flush", "k", "doc_id", "held", "words", "n_symbols"])
+
+    of_model = tokens.mapInArrow(scored, "flush long, k int, doc_id long, held boolean, words binary, n_symbols long")
     met = common.cut_lineage(rows.where(F.col("kind") != TOKENS).repartition("key").sortWithinPartitions("key").mapInArrow(_met, _KIND))
 
     def totals(batches):
@@ -520,6 +489,21 @@ def scores(docs: DataFrame, fold: int = 10, held: int = 0, path: str | None = No
 
     whole = met.where(F.col("kind") == TOTAL).select("a").mapInArrow(totals, "n long, v long").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
     n, v = whole["n"] or 0, whole["v"] or 0
-    base = met.where(F.col("kind") != TOTAL).repartition("flush").sortWithinPartitions("flush").mapInArrow(_bases, "flush long, k int, n_tokens long, n_known long, logs double")
+    base = met.where(F.col("kind") != TOTAL).repartition("flush").sortWithinPartitions("flush").mapInArrow(_bases, "flush long, k int, n_tokens long, n_known long, logs double, counts binary")
     scale = float(np.log10(n + SMOOTH * (v + 1)))
-    return of_model.join(base, ["flush", "k"]).select("doc_id", F.col("held").alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), (F.col("logs") - F.col("n_tokens") * scale).alias("base_score"), "score", "n_symbols")
+    mix = MIX if n else 0.0
+
+    def mixed(batches):
+        """Each row with its score in place of its words' log probabilities and counts."""
+        for b in common.pieces(batches):
+            out = []
+            for logs, counts in zip(b.column(6).to_pylist(), b.column(7).to_pylist(), strict=True):
+                word, share = np.frombuffer(logs, np.float32).astype(float), np.frombuffer(counts, np.float32).astype(float) / max(1, n)
+                if mix:
+                    word = np.logaddexp(word + np.log1p(-mix), np.log(np.maximum(share * mix, 1e-300)))
+                out.append(word.sum() / np.log(10))
+            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(6)], pa.array(out, pa.float64())], names=["doc_id", "held_out", "n_tokens", "n_known", "logs", "n_symbols", "score"])
+
+    joined = of_model.join(base, ["flush", "k"]).select("doc_id", F.col("held").alias("held_out"), "n_tokens", "n_known", "logs", "n_symbols", "words", "counts")
+    done = joined.mapInArrow(mixed, "doc_id long, held_out boolean, n_tokens long, n_known long, logs double, n_symbols long, score double")
+    return done.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), (F.col("logs") - F.col("n_tokens") * scale).alias("base_score"), "score", "n_symbols")
