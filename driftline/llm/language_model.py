@@ -8,7 +8,7 @@ within its class:
 * within the class: smoothed counts, given the symbol before, over all training documents;
 * of the class: a softmax of its log frequencies given the symbol before, over all training
   documents, plus the output of one layer of causal self-attention, trained first on a bounded sample on the driver and
-  then by every task on a fixed share of its own training documents, the results being averaged.
+  then by every task on all of its own training documents, the results being averaged.
 
 A word's probability mixes its symbols' product and its frequency in all training documents,
 which comes with the unigram base's counts.
@@ -41,8 +41,6 @@ FINE = 768
 FINE_IN = FINE + 3
 #: Training documents and characters that the driver reads for its first steps.
 SAMPLE_DOCS, SAMPLE_CHARS = 600, 8000
-#: One training document in so many is trained on by its task.
-SHARE = 16
 SMOOTH = 0.1
 #: Weight of a class's own distribution against what followed the symbol before.
 PRIOR = 10.0
@@ -349,6 +347,10 @@ class Attention:
             self.p[n] = vector[at : at + size].reshape(self.p[n].shape).astype(np.float32)
             at += size
 
+    def load_mean(self, total: np.ndarray, blocks: float) -> None:
+        """Parameters from their sum over so many blocks."""
+        self.load(total / blocks)
+
 
 def classes_of(sample: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Class and fine number of each symbol: the most frequent of a sample alone, the others shared by end of word (and number)."""
@@ -434,7 +436,7 @@ def scores(docs: DataFrame, fold: int = 10, held: int = 0, path: str | None = No
         model.train(x[:12_000], y[:12_000], fine[:12_000], 8, 6e-3)
 
     def local(batches):
-        """The task's own steps over its share of training documents, and their number of blocks."""
+        """The task's own steps over its training documents, and their number of blocks."""
         seqs, mine = [], Attention(pairs)
         mine.load(model.vector())
         done = 0
@@ -452,11 +454,10 @@ def scores(docs: DataFrame, fold: int = 10, held: int = 0, path: str | None = No
             v = mine.vector().astype(np.float64) * done
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(v) + 1)), pa.array(np.append(v, done))], names=["i", "v"])
 
-    own = train.where(F.pmod(F.xxhash64("doc_id"), F.lit(SHARE)) == 0).select("a", "b")
-    found = own.mapInArrow(local, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()  # as many rows as parameters
+    found = train.select("a", "b").mapInArrow(local, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()  # as many rows as parameters
     if found:
         v = np.array([r.v for r in sorted(found, key=lambda r: r.i)])
-        model.load(v[:-1] / v[-1])
+        model.load_mean(v[:-1], v[-1])
 
     def scored(batches):
         _release()

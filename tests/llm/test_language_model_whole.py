@@ -20,3 +20,15 @@ def test_mixture_covers_all_training_words(spark):
     got = [r for r in lm.scores(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.held_out]
     assert len(got) == 1 and got[0].n_known == 201
     assert got[0].score >= 201 * math.log10(lm.MIX / len(words) * 0.99)
+
+
+def _docs(spark, texts):
+    train = [d for d in range(1000) if zlib.crc32(str(d).encode()) % 10]
+    return spark.createDataFrame(list(zip(train, texts, strict=False)), "doc_id long, text string")
+
+
+def test_every_training_document_is_trained_on(spark, monkeypatch):
+    seen, load_mean = [], lm.Attention.load_mean
+    monkeypatch.setattr(lm.Attention, "load_mean", lambda self, total, blocks: (seen.append(blocks), load_mean(self, total, blocks)))
+    got = lm.scores(_docs(spark, ["some words of text " * (k % 7 + 1) for k in range(100)])).collect()
+    assert seen == [sum(-(-(r.n_symbols + 1) // lm.STRIDE) for r in got)]
