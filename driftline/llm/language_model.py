@@ -433,7 +433,7 @@ def scores(docs: DataFrame, fold: int = 10, held: int = 0, path: str | None = No
     model = Attention(pairs)
     if sample:
         x, y, fine, _ = Attention.blocks(*sequences(sample))
-        model.train(x[:12_000], y[:12_000], fine[:12_000], 8, 6e-3)
+        model.train(x, y, fine, 8, 6e-3)
 
     def local(batches):
         """The task's own steps over its training documents, and their number of blocks."""

@@ -32,3 +32,10 @@ def test_every_training_document_is_trained_on(spark, monkeypatch):
     monkeypatch.setattr(lm.Attention, "load_mean", lambda self, total, blocks: (seen.append(blocks), load_mean(self, total, blocks)))
     got = lm.scores(_docs(spark, ["some words of text " * (k % 7 + 1) for k in range(100)])).collect()
     assert seen == [sum(-(-(r.n_symbols + 1) // lm.STRIDE) for r in got)]
+
+
+def test_first_steps_use_all_of_the_sample(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(lm.Attention, "train", lambda self, x, *rest: seen.append(len(x)))
+    got = lm.scores(_docs(spark, ["a " * 7900] * 28)).collect()
+    assert seen == [sum(-(-(r.n_symbols + 1) // lm.STRIDE) for r in got)] and seen[0] > 12_000
