@@ -352,9 +352,8 @@ class Attention:
         self.load(total / blocks)
 
 
-def classes_of(sample: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Class and fine number of each symbol: the most frequent of a sample alone, the others shared by end of word (and number)."""
-    counts = np.bincount(sample, minlength=2 * size)
+def classes_of(counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Class and fine number of each symbol: the most frequent alone, the others shared by end of word (and number)."""
     order = np.argsort(-counts, kind="stable")
     half = SHARED // 2
     out = SINGLE + np.where(np.arange(2 * size) >= size, half + np.arange(2 * size) % (SHARED - half), np.arange(2 * size) % half)
@@ -390,8 +389,28 @@ def scores(docs: DataFrame, fold: int = 10, held: int = 0, path: str | None = No
     train = tokens.where(~F.col("held"))
     drawn = train.orderBy(F.xxhash64("doc_id", "k"), "doc_id").where(F.length("a") <= 2 * SAMPLE_CHARS).limit(SAMPLE_DOCS).select("a", "b").collect()
     sample = [_sequence(r.a, r.b, size) for r in drawn]
-    class_of, fine_of = classes_of(np.concatenate([*sample, np.zeros(0, np.int64)]), size)
     kind = "i long, n long"
+
+    def summed(counted, length: int) -> np.ndarray:
+        """Sum of the tasks' count vectors of this length."""
+        total = np.zeros(length)
+        counts = train.select("a", "b").mapInArrow(counted, kind).groupBy("i").agg(F.sum("n").alias("n")).toArrow()  # at most as many rows as the vector is long
+        total[counts.column("i").to_numpy()] = counts.column("n").to_numpy()
+        return total
+
+    def symbols(batches):
+        """Counts of the training documents' symbols."""
+        _release()
+        total = np.zeros(2 * size, np.int64)
+        for b in common.pieces(batches):
+            seqs = [_sequence(a, e, size) for a, e in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+            if seqs:
+                total += np.bincount(np.concatenate(seqs), minlength=2 * size)
+        i = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(total[i])], names=["i", "n"])
+
+    single = summed(symbols, 2 * size)
+    class_of, fine_of = classes_of(single, size)
     of_class, of_pair = FINE_IN * CLASSES, FINE_IN * FINE
 
     def sequences(seqs: list[np.ndarray]):
@@ -399,25 +418,21 @@ def scores(docs: DataFrame, fold: int = 10, held: int = 0, path: str | None = No
         return [np.append(class_of[s], END_CLASS) for s in seqs], [np.append(FINE_IN - 1, fine_of[s]) for s in seqs]
 
     def counted(batches):
-        """Counts of the training documents: of symbols, and after them of (symbol before, class), (symbol before, symbol)."""
+        """Counts of the training documents: of (symbol before, class), and after them of (symbol before, symbol)."""
         _release()
-        total = np.zeros(2 * size + of_class + of_pair, np.int64)
+        total = np.zeros(of_class + of_pair, np.int64)
         for b in common.pieces(batches):
             seqs = [_sequence(a, e, size) for a, e in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
             if seqs:
                 classes, before = map(np.concatenate, sequences(seqs))
                 fine = np.concatenate([np.append(fine_of[s], FINE) for s in seqs])
-                total[: 2 * size] += np.bincount(np.concatenate(seqs), minlength=2 * size)
-                total[2 * size : 2 * size + of_class] += np.bincount(before * CLASSES + classes, minlength=of_class)
+                total[:of_class] += np.bincount(before * CLASSES + classes, minlength=of_class)
                 told = (fine < FINE) & (classes >= SINGLE)  # within a class of one symbol there is nothing to tell
-                total[2 * size + of_class :] += np.bincount((before * FINE + fine)[told], minlength=of_pair)
+                total[of_class:] += np.bincount((before * FINE + fine)[told], minlength=of_pair)
         i = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(total[i])], names=["i", "n"])
 
-    total = np.zeros(2 * size + of_class + of_pair)
-    counts = train.select("a", "b").mapInArrow(counted, kind).groupBy("i").agg(F.sum("n").alias("n")).toArrow()  # at most as many rows as the vector is long
-    total[counts.column("i").to_numpy()] = counts.column("n").to_numpy()
-    single, pairs, within = np.split(total, [2 * size, 2 * size + of_class])
+    pairs, within = np.split(summed(counted, of_class + of_pair), [of_class])
     inside = (single + SMOOTH) / np.bincount(class_of, single + SMOOTH, minlength=CLASSES)[class_of]
     pairs, within = pairs.reshape(FINE_IN, CLASSES), within.reshape(FINE_IN, FINE)
     of_fine = np.full(FINE, END_CLASS)

@@ -39,3 +39,11 @@ def test_first_steps_use_all_of_the_sample(spark, monkeypatch):
     monkeypatch.setattr(lm.Attention, "train", lambda self, x, *rest: seen.append(len(x)))
     got = lm.scores(_docs(spark, ["a " * 7900] * 28)).collect()
     assert seen == [sum(-(-(r.n_symbols + 1) // lm.STRIDE) for r in got)] and seen[0] > 12_000
+
+
+def test_classes_come_from_all_training_documents(spark, monkeypatch):
+    seen, classes_of = [], lm.classes_of
+    monkeypatch.setattr(lm, "classes_of", lambda counts, size: (seen.append(counts), classes_of(counts, size))[1])
+    # the long document is in no sample
+    got = lm.scores(_docs(spark, ["some words", "other " * 9000])).collect()
+    assert np.sum(seen[0]) == sum(r.n_symbols for r in got)
