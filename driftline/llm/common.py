@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
+import re
 import tempfile
+import time
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -19,18 +23,60 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Eager reliable checkpoint in the cluster's shared folder.
+    """Eager reliable checkpoint in the cluster's shared folder, the session's ``spark.checkpoint.dir``.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is
-    unset (single-machine tests) a temporary folder is made.
+    Where that is unset a single machine gets a temporary folder; a cluster is an error.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        at = sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="driftline-")
-        sc.setCheckpointDir(at)
+        at = sc.getConf().get("spark.checkpoint.dir")
+        if not at and not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(at or tempfile.mkdtemp(prefix="driftline-"))
     return df.checkpoint(eager=True)
 
 
+def forget(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files and checkpoints that nothing refers to any more.
+
+    They go when the driver's JVM collects the objects that stand for them, which a driver with little to do puts off.
+    """
+    gc.collect()
+    time.sleep(0.4)  # the JVM hears of Python's objects a little later
+    spark.sparkContext._jvm.System.gc()
+
+
+def trimmed(batches):
+    """The batches; once they are over, the Python worker, which outlives its task, gives free memory back."""
+    try:
+        yield from batches
+    finally:
+        trim()
+
+
+def trim() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def fresh(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` has not (names are compared without case)."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def buckets_for(docs: DataFrame, text_col: str, bytes_each: int, least: int = 64) -> int:
+    """Number of hash buckets of which each meets what about so many bytes of text give."""
+    total = docs.agg(F.sum(F.octet_length(docs[text_col]))).first()[0] or 0
+    return max(least, -(-total // bytes_each))
+
+
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     """Place of a public tokenizer file; DRIFTLINE_TOKENIZERS overrides the folder."""
     if folder := os.environ.get("DRIFTLINE_TOKENIZERS"):

@@ -72,35 +72,48 @@ class Forest:
         return out
 
 
-def forest_of_runs(run: np.ndarray, part: np.ndarray, node: np.ndarray, linked: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def forest_of_runs(run: np.ndarray, part: np.ndarray, node: np.ndarray, linked: Callable[[np.ndarray, np.ndarray], np.ndarray], gather: int = 0, unique_pairs: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Spanning links of each run. ``run`` is sorted; ``linked`` says of row pairs whether they link.
 
     Shifts by 1, 2, ... compare each row with the later rows of its run, all runs together; pairs
-    that are already joined are not compared. Rows of parts 1 and 2 meet only across parts.
+    that are already joined are not compared. Rows of parts 1 and 2 meet only across parts. Later shifts
+    wait for one another until there are ``gather`` pairs (as many as have been compared, at most).
+    ``unique_pairs`` says that ``linked`` is dear and should see a pair of nodes once at a time.
     """
     n = len(run)
-    forest, out_a, out_b = Forest(n), [], []
-    left, shift = np.arange(n), 0
-    while len(left):
+    unique, which = np.unique(node, return_inverse=True)
+    forest, out_a, out_b = Forest(len(unique)), [], []
+    left, shift, waiting, count, compared = np.arange(n), 0, [], 0, 0
+    while True:
         shift += 1
         left = left[left + shift < n]
         left = left[run[left] == run[left + shift]]
+        if len(left):
+            a, b = left, left + shift
+            pa_, pb_ = part[a], part[b]
+            ok = ((pa_ == 0) & (pb_ == 0)) | ((pa_ | pb_) == 3) & (pa_ != pb_) & (pa_ != 0) & (pb_ != 0)
+            ok &= node[a] != node[b]
+            waiting.append((a[ok], b[ok]))
+            count += len(waiting[-1][0])
+        if waiting and (not len(left) or count >= min(gather, compared)):
+            a, b = (np.concatenate([w[k] for w in waiting]) for k in (0, 1))
+            compared += count
+            waiting, count = [], 0
+            if len(a):
+                apart = forest.roots(which[a]) != forest.roots(which[b])
+                a, b = a[apart], b[apart]
+                if unique_pairs:
+                    u, v = which[a], which[b]
+                    _, first = np.unique(np.minimum(u, v) * len(unique) + np.maximum(u, v), return_index=True)
+                    a, b = a[first], b[first]
+            if len(a):
+                found = linked(a, b)
+                a, b = a[found], b[found]
+                new = forest.join(which[a], which[b])
+                out_a.append(a[new])
+                out_b.append(b[new])
         if not len(left):
             break
-        a, b = left, left + shift
-        pa_, pb_ = part[a], part[b]
-        ok = ((pa_ == 0) & (pb_ == 0)) | ((pa_ | pb_) == 3) & (pa_ != pb_) & (pa_ != 0) & (pb_ != 0)
-        ok &= node[a] != node[b]
-        a, b = a[ok], b[ok]
-        if len(a):
-            apart = forest.roots(a) != forest.roots(b)
-            a, b = a[apart], b[apart]
-        if len(a):
-            found = linked(a, b)
-            a, b = a[found], b[found]
-            new = forest.join(a, b)
-            out_a.append(a[new])
-            out_b.append(b[new])
     empty = np.zeros(0, np.int64)
     return np.concatenate([*out_a, empty]), np.concatenate([*out_b, empty])
 
