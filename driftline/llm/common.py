@@ -42,8 +42,9 @@ def forget(spark: SparkSession) -> None:
     They go when the driver's JVM collects the objects that stand for them, which a driver with little to do puts off.
     """
     gc.collect()
-    time.sleep(0.4)  # the JVM hears of Python's objects a little later
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # the JVM hears of Python's objects a little later, and its last job's are still in use at first
+        time.sleep(0.4)
+        spark.sparkContext._jvm.System.gc()
 
 
 def trimmed(batches):

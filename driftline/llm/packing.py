@@ -49,7 +49,7 @@ def tokens(docs: DataFrame, path: str, id_col: str, text_col: str, source_col: s
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(np.diff(begins) + 1), pa.array(packed, pa.binary())], names=["doc_id", "source", "n", "ids"])
 
     kept = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), F.coalesce(docs[source_col].cast("string"), F.lit("")).alias("source"))
-    return kept.mapInArrow(run, "doc_id long, source string, n long, ids binary")
+    return kept.mapInArrow(lambda b: common.trimmed(run(b)), "doc_id long, source string, n long, ids binary")
 
 
 def carried(totals: DataFrame, whole: int, targets: dict[str, float] | None = None) -> DataFrame:
@@ -185,4 +185,4 @@ def pack(docs: DataFrame, targets: dict[str, float] | None = None, path: str | N
         if held:
             yield bucket_of(now, start, held)
 
-    return rows.unionByName(starts).repartition("bucket").sortWithinPartitions("bucket", "kind", "spread").mapInArrow(run, SCHEMA)
+    return rows.unionByName(starts).repartition("bucket").sortWithinPartitions("bucket", "kind", "spread").mapInArrow(lambda b: common.trimmed(run(b)), SCHEMA)

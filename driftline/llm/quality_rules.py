@@ -17,6 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from driftline.llm import common
 from driftline.llm.common import cut_lineage
 
 SPACE = r"[\x20\x09-\x0D]+"
@@ -39,16 +40,21 @@ STEPS = 3
 BROADCAST_GROUPS = 10_000
 
 
-def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", keep: list[str] | None = None) -> DataFrame:
-    """doc_id, the base rules' counts, distinct words and lines, language and source of every row.
+def fingerprint(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> Column:
+    """128 bits of all that a verdict depends on."""
+    parts = [docs[c].cast("string") for c in (text_col, lang_col, source_col)]
+    nulls = F.concat(*[p.isNull().cast("string") for p in parts])
+    return F.struct(F.xxhash64(nulls, *parts).alias("a"), F.xxhash64(F.lit(1), *parts[::-1], nulls).alias("b"))
 
-    ``keep`` names further columns that stay. Null texts are empty.
+
+def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+    """doc_id, fingerprint, the base rules' counts, distinct words and lines, language and source of every row.
+
+    Null texts are empty.
     """
     text = F.coalesce(docs[text_col], F.lit(""))
-    kept = [docs[c].alias(f"_kept_{c}") for c in keep or []]
-    d = docs.select(docs[id_col].cast("long").alias("doc_id"), text.alias("t"), F.coalesce(docs[lang_col].cast("string"), F.lit("")).alias("g_lang"), F.coalesce(docs[source_col].cast("string"), F.lit("")).alias("g_source"), *kept)
-    names = [f"_kept_{c}" for c in keep or []]
-    base = ["doc_id", "g_lang", "g_source", *names]
+    d = docs.select(docs[id_col].cast("long").alias("doc_id"), fingerprint(docs, text_col, lang_col, source_col).alias("print"), text.alias("t"), F.coalesce(docs[lang_col].cast("string"), F.lit("")).alias("g_lang"), F.coalesce(docs[source_col].cast("string"), F.lit("")).alias("g_source"))
+    base = ["doc_id", "print", "g_lang", "g_source"]
     d = d.select(
         *base,
         F.transform(F.filter(F.split("t", SPACE), lambda w: w != ""), lambda w: F.xxhash64(w)).alias("h"),
@@ -161,8 +167,8 @@ def outlier_distances(stats: DataFrame) -> DataFrame:
     return _by_group(d, scale).withColumn("d", F.col("d") * CHI2_MEDIAN / F.greatest(F.col("half"), F.lit(CHI2_MEDIAN / 4))).drop("half", "z")
 
 
-def judged(docs: DataFrame, cutoff: float = CUTOFF, keep: list[str] | None = None, **columns) -> DataFrame:
-    """Counts, base_failed, distance and kept of every row, and the columns in ``keep`` under ``_kept_``.
+def judged(docs: DataFrame, cutoff: float = CUTOFF, **columns) -> DataFrame:
+    """Fingerprint, counts, base_failed, distance and kept of every row, without the texts.
 
     Documents that fail the base rules are rejected and take no part in the estimates. Null and
     empty texts fail them. Null languages and sources are groups of their own; groups of fewer than
@@ -170,7 +176,7 @@ def judged(docs: DataFrame, cutoff: float = CUTOFF, keep: list[str] | None = Non
     A finished statistic is never null, so no distance is. An empty table gives no rows; other
     columns are ignored.
     """
-    stats = statistics(docs, keep=keep, **columns)
+    stats = statistics(docs, **columns)
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     stats = cut_lineage(stats.withColumn("base_failed", failed))
     far = outlier_distances(stats.where("not base_failed"))
@@ -183,3 +189,16 @@ def judged(docs: DataFrame, cutoff: float = CUTOFF, keep: list[str] | None = Non
 def verdicts(docs: DataFrame, cutoff: float = CUTOFF, **columns) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance."""
     return judged(docs, cutoff, **columns).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
+
+
+def passing(docs: DataFrame, cutoff: float = CUTOFF, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+    """The documents that ``judged`` keeps, all their columns as they are.
+
+    Rows alike in id, text, language and source have one verdict, so verdicts return by those (the last three as a fingerprint), null ids too. Only
+    the rejected take part in that join. Nulls, repeats and empty tables as in judged.
+    """
+    columns = {"id_col": id_col, "text_col": text_col, "lang_col": lang_col, "source_col": source_col}
+    id_, print_ = common.fresh(docs, "_id"), common.fresh(docs, "_print")
+    gone = judged(docs, cutoff, **columns).where("not kept").select(F.col("doc_id").alias(f"{id_}r"), F.col("print").alias(f"{print_}r")).distinct()
+    tagged = docs.withColumns({id_: docs[id_col].cast("long"), print_: fingerprint(docs, text_col, lang_col, source_col)})
+    return tagged.join(gone, F.col(id_).eqNullSafe(F.col(f"{id_}r")) & (F.col(print_) == F.col(f"{print_}r")), "left_anti").select(*docs.columns)

@@ -201,8 +201,8 @@ def _set_keys(some: np.ndarray, rows: int = 4096) -> bytes:
     return key.tobytes()
 
 
-def similar_documents(docs: DataFrame, least: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text", block: int = hamming.BLOCK) -> DataFrame:
-    """doc_id and component_id (least id reachable over links) of every row with an id.
+def similar_documents(docs: DataFrame, least: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text", block: int = hamming.BLOCK, with_text_hash: bool = False) -> DataFrame:
+    """doc_id and component_id (least id reachable over links) of every row with an id; with its text_hash if that is asked for.
 
     Documents link whose sets of word shingles have a Jaccard similarity of at least ``least``, which is
     computed exactly for those that share a key; equal sets, empty ones too, are one.
@@ -211,10 +211,11 @@ def similar_documents(docs: DataFrame, least: float = 0.8, shingle: int = 5, id_
     def first(batches):
         for b in common.pieces(batches):
             out = [_set_of(t, shingle) for t in common.texts_of(b.column(1))]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([h for _, h in out], pa.int64()), pa.array([_set_keys(x) if len(x) else b"" for x, _ in out], pa.binary())], names=["doc_id", "node", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([h for _, h in out], pa.int64()), pa.array([_set_keys(x) if len(x) else b"" for x, _ in out], pa.binary()), b.column(2)], names=["doc_id", "node", "keys", "text_hash"])
 
     texts = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).where("doc_id is not null")
-    every = common.cut_lineage(texts.mapInArrow(first, "doc_id long, node long, keys binary"))
+    hashed = texts.withColumn("text_hash", F.coalesce(F.xxhash64("text"), F.xxhash64(F.lit(""))))
+    every = common.cut_lineage(hashed.mapInArrow(lambda b: common.trimmed(first(b)), "doc_id long, node long, keys binary, text_hash long"))
     distinct = every.groupBy("node").agg(F.min("doc_id").alias("head"), F.first("keys").alias("keys"))
 
     def exploded(batches):
@@ -256,4 +257,17 @@ def similar_documents(docs: DataFrame, least: float = 0.8, shingle: int = 5, id_
     of = components(pairs.repartition("run").sortWithinPartitions("run").mapInArrow(verified, "u long, v long"))
     joined = distinct.select("node", "head").join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
     heads = joined.groupBy("component").agg(F.min("head").alias("component_id"))
-    return every.select("doc_id", "node").join(joined.join(heads, "component").select("node", "component_id"), "node").select("doc_id", "component_id")
+    return every.select("doc_id", "node", "text_hash").join(joined.join(heads, "component").select("node", "component_id"), "node").select("doc_id", "component_id", *(["text_hash"] if with_text_hash else []))
+
+
+def without_near_copies(docs: DataFrame, least: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Of each component of similar documents the rows with its least id; rows without id stay, all columns stay.
+
+    A row goes if its text is in a component in which another row has a smaller id. Rows that repeat an id are judged each by
+    its own text; rows alike in id and text all stay or all go. Null and empty texts are one component. An empty table gives none.
+    """
+    id_, hash_ = common.fresh(docs, "_id"), common.fresh(docs, "_node")
+    tagged = docs.withColumns({id_: docs[id_col].cast("long"), hash_: F.coalesce(F.xxhash64(docs[text_col]), F.xxhash64(F.lit("")))})
+    of = similar_documents(docs, least, shingle, id_col, text_col, with_text_hash=True)
+    gone = of.where("doc_id <> component_id").select(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_)).distinct()
+    return tagged.join(gone, [id_, hash_], "left_anti").select(*docs.columns)

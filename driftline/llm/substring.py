@@ -98,6 +98,10 @@ def anchor_starts(n: int, length: int, period: int, cover: tuple[int, ...]) -> n
 
 #: A flush has about so many entries; entries of a flush fit in a task's memory.
 FLUSH = 1_500_000
+#: A flush has at most so many words (or one document), so that 32 bits count its places.
+FLUSH_WORDS = 1 << 28
+#: Bytes of text whose hashes meet in a bucket, about: with a hash for each 5 words a bucket has some million entries.
+BUCKET_BYTES = 64 << 20
 _EXCHANGE = "key long, kind int, flush long, a binary, b binary, c binary"
 _NAMES = ["key", "kind", "flush", "a", "b", "c"]
 TABLE, ENTRY, ANSWER = 0, 1, 2
@@ -255,7 +259,7 @@ def removed_windows(texts: DataFrame, length: int = LENGTH, period: int = PERIOD
     their own, but windows never remove those of the same id.
     """
     size = length - period + 1
-    buckets = max(64, 2 * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    buckets = common.buckets_for(texts, "text", BUCKET_BYTES)
 
     def anchors(batches):
         f = _Flush(buckets, windows=False)
@@ -265,7 +269,7 @@ def removed_windows(texts: DataFrame, length: int = LENGTH, period: int = PERIOD
                 if len(words) >= length:
                     starts = anchor_starts(len(words), length, period, cover)
                     f.add(doc, text_hash, len(words), Rolling(word_hashes(words)).windows(starts, size), starts)
-                    if f.entries >= flush:
+                    if f.entries >= flush or f.words >= FLUSH_WORDS:
                         yield from f.rows()
         yield from f.rows()
 
@@ -280,13 +284,13 @@ def removed_windows(texts: DataFrame, length: int = LENGTH, period: int = PERIOD
                 np.add.at(step, hit + 1, -1)
                 starts = np.flatnonzero(np.cumsum(step)[: n - length + 1] > 0)
                 f.add(doc, text_hash, n, Rolling(word_hashes(words)).windows(starts, length), starts)
-                if f.entries >= flush:
+                if f.entries >= flush or f.words >= FLUSH_WORDS:
                     yield from f.rows()
         yield from f.rows()
 
-    shared = _exchange(texts.select("doc_id", "text_hash", "text").mapInArrow(anchors, _EXCHANGE), windows=False)
+    shared = _exchange(texts.select("doc_id", "text_hash", "text").mapInArrow(lambda b: common.trimmed(anchors(b)), _EXCHANGE), windows=False)
     near = texts.join(shared, ["doc_id", "text_hash"]).select("doc_id", "text_hash", "text", "places")
-    return _exchange(near.mapInArrow(extend, _EXCHANGE), windows=True)
+    return _exchange(near.mapInArrow(lambda b: common.trimmed(extend(b)), _EXCHANGE), windows=True)
 
 
 def _covered(places: bytes | None, n: int, length: int) -> np.ndarray | None:
@@ -299,13 +303,13 @@ def _covered(places: bytes | None, n: int, length: int) -> np.ndarray | None:
     return np.cumsum(step[:n]) > 0
 
 
-def _with_windows(docs: DataFrame, id_col: str, text_col: str, length: int, period: int, cover: tuple[int, ...], flush: int) -> DataFrame:
-    """The rows with columns _id, _text and _places besides their own, _places null where nothing goes."""
-    tagged = docs.withColumns({"_id": docs[id_col].cast("long"), "_text": docs[text_col]})
-    tagged = tagged.withColumn("_hash", F.xxhash64("_text"))
+def _with_windows(docs: DataFrame, id_col: str, text_col: str, length: int, period: int, cover: tuple[int, ...], flush: int) -> tuple[DataFrame, str]:
+    """The rows, and the name of a further column: the places of removed windows, null where nothing goes."""
+    id_, hash_, places = (common.fresh(docs, n) for n in ("_id", "_hash", "_places"))
+    tagged = docs.withColumns({id_: docs[id_col].cast("long"), hash_: F.xxhash64(docs[text_col])})
     texts = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).where("doc_id is not null and text is not null").withColumn("text_hash", F.xxhash64("text"))
-    gone = removed_windows(texts, length, period, cover, flush).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("places").alias("_places"))
-    return tagged.join(gone, ["_id", "_hash"], "left")
+    gone = removed_windows(texts, length, period, cover, flush).select(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_), F.col("places").alias(places))
+    return tagged.join(gone, [id_, hash_], "left").drop(id_, hash_), places
 
 
 def kept_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, period: int = PERIOD, cover: tuple[int, ...] = COVER, flush: int = FLUSH) -> DataFrame:
@@ -327,8 +331,8 @@ def kept_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     column.append(v)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    rows = _with_windows(docs.select(id_col, text_col), id_col, text_col, length, period, cover, flush)
-    return rows.select("_id", "_text", "_places").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    rows, places = _with_windows(docs.select(id_col, text_col), id_col, text_col, length, period, cover, flush)
+    return rows.select(F.col(id_col).cast("long"), text_col, places).mapInArrow(lambda b: common.trimmed(run(b)), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, period: int = PERIOD, cover: tuple[int, ...] = COVER, flush: int = FLUSH) -> DataFrame:
@@ -347,5 +351,5 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def cut(text: pd.Series, places: pd.Series) -> pd.Series:
         return pd.Series([t if p is None else one(t, p) for t, p in zip(text, places, strict=True)], dtype=object)
 
-    rows = _with_windows(docs, id_col, text_col, length, period, cover, flush).withColumn("_new", cut("_text", "_places"))
-    return rows.select(*[F.col("_new").alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    rows, places = _with_windows(docs, id_col, text_col, length, period, cover, flush)
+    return rows.withColumn(text_col, cut(text_col, places)).select(*docs.columns)
