@@ -18,6 +18,10 @@ from pyspark.sql import functions as F
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
+#: Rows of an Arrow batch in eager steps, at most.
+ARROW_ROWS = 1000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -33,7 +37,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         if not at and not re.match(r"local(\[|$)", sc.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(at or tempfile.mkdtemp(prefix="driftline-"))
-    return df.checkpoint(eager=True)
+    # batches of texts take memory in the executor and in its Python workers, several at a time
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = conf.get(key)
+    conf.set(key, str(min(int(was), ARROW_ROWS)) if int(was) > 0 else str(ARROW_ROWS))
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        conf.set(key, was)
 
 
 def forget(spark: SparkSession) -> None:
@@ -47,11 +58,13 @@ def forget(spark: SparkSession) -> None:
         spark.sparkContext._jvm.System.gc()
 
 
-def trimmed(batches):
-    """The batches; once they are over, the Python worker, which outlives its task, gives free memory back."""
+def trimmed(batches, release=None):
+    """The batches; once they are over, the Python worker, which outlives its task, lets go of what it kept and gives memory back."""
     try:
         yield from batches
     finally:
+        if release is not None:
+            release()
         trim()
 
 

@@ -235,7 +235,7 @@ def similar_documents(docs: DataFrame, least: float = 0.8, shingle: int = 5, id_
             yield pa.RecordBatch.from_arrays([pa.array([h for _, h in out], pa.int64()), pa.array([x.tobytes() for x, _ in out], pa.binary()), b.column(0)], names=["is", "shingles", "node"])
 
     wanted = distinct.select("node", "head").join(members.select("node").distinct(), "node", "left_semi").select("node", F.col("head").alias("doc_id"))
-    found = texts.join(wanted, "doc_id").select("node", "text").mapInArrow(again, "is long, shingles binary, node long").where("is = node").select("node", "shingles").dropDuplicates(["node"])
+    found = texts.join(wanted, "doc_id").select("node", "text").mapInArrow(lambda b: common.trimmed(again(b)), "is long, shingles binary, node long").where("is = node").select("node", "shingles").dropDuplicates(["node"])
 
     def verified(batches):
         for r, p, node, shingles in hamming.whole_runs(batches, 4, 5_000):
@@ -254,7 +254,7 @@ def similar_documents(docs: DataFrame, least: float = 0.8, shingle: int = 5, id_
             yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], names=["u", "v"])
 
     pairs = hamming.blocked(members.withColumn("fp", F.lit(0).cast("long")).join(found, "node").select("key", "fp", "node", "shingles"), block).select("run", "part", "node", "shingles")
-    of = components(pairs.repartition("run").sortWithinPartitions("run").mapInArrow(verified, "u long, v long"))
+    of = components(pairs.repartition("run").sortWithinPartitions("run").mapInArrow(lambda b: common.trimmed(verified(b)), "u long, v long"))
     joined = distinct.select("node", "head").join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
     heads = joined.groupBy("component").agg(F.min("head").alias("component_id"))
     return every.select("doc_id", "node", "text_hash").join(joined.join(heads, "component").select("node", "component_id"), "node").select("doc_id", "component_id", *(["text_hash"] if with_text_hash else []))

@@ -36,7 +36,7 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 #: Kept word hashes of a worker; the cache is emptied when it is full.
-CACHE = 500_000
+CACHE = 250_000
 _words: dict[bytes, int] = {}
 
 
@@ -97,7 +97,7 @@ def anchor_starts(n: int, length: int, period: int, cover: tuple[int, ...]) -> n
 
 
 #: A flush has about so many entries; entries of a flush fit in a task's memory.
-FLUSH = 1_500_000
+FLUSH = 800_000
 #: A flush has at most so many words (or one document), so that 32 bits count its places.
 FLUSH_WORDS = 1 << 28
 #: Bytes of text whose hashes meet in a bucket, about: with a hash for each 5 words a bucket has some million entries.
@@ -247,8 +247,8 @@ def _hits(batches):
 
 def _exchange(rows: DataFrame, windows: bool) -> DataFrame:
     """doc_id, text_hash, places of the documents that have hits."""
-    met = rows.repartition("key").sortWithinPartitions("key").mapInArrow(lambda b: _meet(b, windows), _EXCHANGE)
-    back = met.repartition("flush").sortWithinPartitions("flush").mapInArrow(_hits, "doc_id long, text_hash long, places binary")
+    met = rows.repartition("key").sortWithinPartitions("key").mapInArrow(lambda b: common.trimmed(_meet(b, windows)), _EXCHANGE)
+    back = met.repartition("flush").sortWithinPartitions("flush").mapInArrow(lambda b: common.trimmed(_hits(b)), "doc_id long, text_hash long, places binary")
     return back.groupBy("doc_id", "text_hash").agg(F.first("places").alias("places"))
 
 
@@ -288,9 +288,9 @@ def removed_windows(texts: DataFrame, length: int = LENGTH, period: int = PERIOD
                     yield from f.rows()
         yield from f.rows()
 
-    shared = _exchange(texts.select("doc_id", "text_hash", "text").mapInArrow(lambda b: common.trimmed(anchors(b)), _EXCHANGE), windows=False)
+    shared = _exchange(texts.select("doc_id", "text_hash", "text").mapInArrow(lambda b: common.trimmed(anchors(b), _words.clear), _EXCHANGE), windows=False)
     near = texts.join(shared, ["doc_id", "text_hash"]).select("doc_id", "text_hash", "text", "places")
-    return _exchange(near.mapInArrow(lambda b: common.trimmed(extend(b)), _EXCHANGE), windows=True)
+    return _exchange(near.mapInArrow(lambda b: common.trimmed(extend(b), _words.clear), _EXCHANGE), windows=True)
 
 
 def _covered(places: bytes | None, n: int, length: int) -> np.ndarray | None:
