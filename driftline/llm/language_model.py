@@ -17,19 +17,22 @@ Scoring cuts a text's symbols into blocks of STRIDE. A block attends to itself a
 before it: windows of 2 * STRIDE overlap by half, each symbol is scored once, and a task's windows run
 as one masked batch.
 
-The unigram base needs each word's count over all training documents. Words of some thousand
-documents (a flush) are packed by hash bucket, counts meet there, and answers go back to the flush.
+A task gathers some thousand documents (a flush) into one compressed table: the documents' words as
+numbers, and the symbols of each distinct word, once. All passes read these tables. The unigram base
+needs each word's count over all training documents: a flush's distinct words are packed by hash
+bucket, counts meet there, and answers go back to the flush, where base and model are scored together.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftline.llm import bpe, common
-from driftline.llm.substring import _grouped, _words, word_hashes
+from driftline.llm.substring import _grouped, _mix
 
 STRIDE, WIDTH, HIDDEN = 16, 16, 32
 SINGLE, SHARED = 96, 31
@@ -46,26 +49,42 @@ SMOOTH = 0.1
 PRIOR = 10.0
 #: Weight of the words' frequencies in the mixture.
 MIX = 0.3
-#: Tokens of a flush, about.
-FLUSH = 750_000
-TOKENS, TABLE, ENTRY, ANSWER, TOTAL = 3, 0, 1, 2, 4
-_KIND = "key long, kind int, flush long, k int, doc_id long, held boolean, a binary, b binary, c binary"
-_TYPES = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.binary()]
+#: Tokens of a flush, about, and bytes of text for each hash bucket.
+FLUSH, BUCKET_BYTES = 750_000, 32 << 20
+#: Words that are expanded to symbols together, about.
+PIECE = 50_000
+TABLE, ENTRY, ANSWER, TOTAL = 0, 1, 2, 4
+_KIND = "key long, kind int, flush long, a binary, b binary, c binary"
+_TYPES = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
 _NAMES = [x.split()[0] for x in _KIND.split(", ")]
 _END_WORD = b" end"
+#: What a document is to the training.
+TRAINS, HELD, NO_ID = 0, 1, 2
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(_TYPES)], names=_NAMES)
 
 
+def _squeezed(x: np.ndarray) -> bytes:
+    """An int32 array, compressed by bytes of like weight."""
+    planes = np.ascontiguousarray(x.astype("<i4").view(np.uint8).reshape(-1, 4).T)
+    return len(x).to_bytes(8, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def _spread(raw: bytes) -> np.ndarray:
+    """The array of _squeezed."""
+    n = int.from_bytes(raw[:8], "little")
+    planes = np.frombuffer(pa.decompress(raw[8:], decompressed_size=4 * n, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, n).T).view("<i4").ravel()
+
+
 _codecs: dict[str, bpe.Codec] = {}
 
 
 def _release() -> None:
-    """Lets go of the kept encodings and word hashes: the later passes over a worker's documents need neither."""
+    """Lets go of the kept encodings, which the later passes over a worker's documents do not need."""
     _codecs.clear()
-    _words.clear()
 
 
 class Symbols:
@@ -115,112 +134,134 @@ class Symbols:
 _SPACES = {i: " " for i in (*range(9, 14),)}
 
 
+class _Numbers(dict):
+    """Numbers of words in the order of their first appearance."""
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        return n
+
+
 class _Gathered:
-    """Words of some documents, gathered until there are enough, and the rows they become."""
+    """Documents gathered until they have enough words, and the rows they become."""
 
-    def __init__(self, buckets: int):
+    def __init__(self, buckets: int, symbols: Symbols):
         from pyspark import TaskContext
 
         context = TaskContext.get()
-        self.buckets, self.number = buckets, (context.partitionId() if context else 0) << 24
+        self.buckets, self.symbols, self.number = buckets, symbols, (context.partitionId() if context else 0) << 24
         self._clear()
 
-    def _clear(self):
-        self.hashes, self.train, self.docs, self.tokens = [], [], 0, 0
+    def _clear(self) -> None:
+        self.numbers, self.docs, self.states, self.words, self.tokens = _Numbers(), [], [], [], 0
+        self.numbers[_END_WORD] = 0
 
-    def add(self, words: list[bytes], train: bool) -> tuple[int, int]:
-        at = (self.number, self.docs)
+    def add(self, doc: int | None, held: bool | None, text: bytes) -> None:
+        words = text.lower().split()
         words.append(_END_WORD)
-        self.hashes.append(word_hashes(words))
-        self.train.append(train)
-        self.docs += 1
+        self.docs.append(0 if doc is None else doc)
+        self.states.append(NO_ID if held is None else HELD if held else TRAINS)
+        self.words.append(np.fromiter(map(self.numbers.__getitem__, words), np.int32, len(words)))
         self.tokens += len(words)
-        return at
 
     def rows(self):
+        """The flush's table, and its distinct words' hashes and training counts by bucket."""
         if not self.docs:
             return
-        size = np.array([len(h) for h in self.hashes])
-        unique, word = np.unique(np.concatenate(self.hashes), return_inverse=True)
-        counts = np.bincount(word, weights=np.repeat(self.train, size), minlength=len(unique)).astype(np.int64)
-        out = [(self.number % self.buckets, TABLE, self.number, None, None, None, size.astype(np.int32).tobytes(), word.astype(np.int32).tobytes(), None)]
-        bucket = (unique % np.uint64(self.buckets)).astype(np.int64)
+        size = np.array([len(w) for w in self.words], np.int32)
+        word, state, distinct = np.concatenate(self.words), np.array(self.states, np.int8), list(self.numbers)
+        # numbers by falling frequency are small; the end stays the first
+        often = np.bincount(word, minlength=len(distinct))
+        often[0] = len(word) + 1
+        order = np.argsort(-often, kind="stable")
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(len(order))
+        word, distinct = place[word], [distinct[k] for k in order.tolist()]
+        count = np.bincount(word, weights=np.repeat(state == TRAINS, size), minlength=len(distinct)).astype(np.int32)
+        symbols, _ = self.symbols.encode([b" ".join(distinct[1:])])
+        out = [(0, TABLE, self.number, np.array(self.docs, np.int64).tobytes() + size.tobytes() + state.tobytes(), _squeezed(word), _squeezed(symbols))]
+        hashes = np.array([xxhash.xxh64_intdigest(w, 7) for w in distinct], np.uint64)
+        bucket = (hashes % np.uint64(self.buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
-        ends = np.searchsorted(bucket[order], np.arange(self.buckets + 1))
-        for k in range(self.buckets):
-            at = order[ends[k] : ends[k + 1]]
-            if len(at):
-                out.append((k, ENTRY, self.number, None, None, None, unique[at].tobytes(), counts[at].tobytes(), at.astype(np.int32).tobytes()))
+        bucket = bucket[order]
+        ends = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
+        for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+            at = order[i:j]
+            out.append((int(bucket[i]), ENTRY, self.number, hashes[at].tobytes(), count[at].tobytes(), at.astype(np.int32).tobytes()))
         self.number += 1
         self._clear()
         yield _rows(out)
 
 
+class Table:
+    """A flush's documents: their ids, states and sizes, their words, and the symbols of each distinct word."""
+
+    def __init__(self, a: bytes, b: bytes, c: bytes, size: int):
+        n = len(a) // 13
+        self.ids, self.sizes, self.states = np.frombuffer(a, np.int64, n), np.frombuffer(a, np.int32, n, 8 * n), np.frombuffer(a, np.int8, n, 12 * n)
+        self.word, self.flat = _spread(b), _spread(c).astype(np.int64)
+        ends = np.concatenate([[0, 0], np.flatnonzero(self.flat >= size) + 1])  # the end has no symbol
+        self.first, self.length = ends[:-1], np.diff(ends)
+        self.begins = np.concatenate([[0], np.cumsum(self.sizes, dtype=np.int64)])
+
+    def symbol_counts(self, size: int) -> np.ndarray:
+        """Counts of the training documents' symbols."""
+        times = np.bincount(self.word, weights=np.repeat(self.states == TRAINS, self.sizes), minlength=len(self.length)).astype(np.int64)
+        return np.bincount(self.flat, weights=np.repeat(times, self.length), minlength=2 * size).astype(np.int64)
+
+    def pieces(self, training: bool = False):
+        """Numbers of some documents, all or those that train, and the symbols of each."""
+        docs = np.flatnonzero(self.states == TRAINS) if training else np.arange(len(self.ids))
+        cuts = np.flatnonzero(np.diff(np.cumsum(self.sizes[docs], dtype=np.int64) // PIECE)) + 1
+        for some in np.split(docs, cuts):
+            if len(some):
+                yield some, [self.symbols(self.word[self.begins[d] : self.begins[d + 1]]) for d in some.tolist()]
+
+    def symbols(self, word: np.ndarray) -> np.ndarray:
+        n = self.length[word]
+        ends = np.cumsum(n)
+        return self.flat[np.repeat(self.first[word] - (ends - n), n) + np.arange(ends[-1])]
+
+
+def _tables(batches, size: int):
+    for b in batches:
+        for a, w, c in zip(*[b.column(k).to_pylist() for k in range(3)], strict=True):
+            yield Table(a, w, c, size)
+
+
 def gathered(docs: DataFrame, fold: int, held: int, path: str, id_col: str, text_col: str, flush: int) -> DataFrame:
-    """One pass over the texts: a row of symbols for each document, and the exchange's rows."""
-    buckets = max(64, 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    """One pass over the texts: the flushes' tables and the exchange's rows."""
+    buckets = common.buckets_for(docs, text_col, BUCKET_BYTES)
 
     def run(batches):
-        symbols, words = Symbols(path), _Gathered(buckets)
+        words = _Gathered(buckets, Symbols(path))
         for b in common.pieces(batches, 256):
-            texts = common.texts_of(b.column(1))
-            ids, begins = symbols.encode(texts)
-            final = ids >= symbols.size
-            low = (ids - final * symbols.size).astype(np.uint32)
-            out = []
-            for k, (doc, h, t) in enumerate(zip(b.column(0).to_pylist(), b.column(2).to_pylist(), texts, strict=True)):
-                number, place = words.add(t.lower().split(), h is False)
-                i, j = begins[k], begins[k + 1]
-                packed = low[i:j].astype(np.uint16) if symbols.size <= 1 << 16 else low[i:j]
-                out.append((0, TOKENS, number, place, doc, h, packed.tobytes(), np.packbits(final[i:j]).tobytes(), None))
-            yield _rows(out)
-            if words.tokens >= flush:
-                yield from words.rows()
+            for doc, h, t in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), common.texts_of(b.column(1)), strict=True):
+                words.add(doc, h, t)
+                if words.tokens >= flush:
+                    yield from words.rows()
         yield from words.rows()
 
     d = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    return d.withColumn("held", common.remainder(F.col("doc_id"), fold) == held).mapInArrow(run, _KIND)
+    return d.withColumn("held", common.remainder(F.col("doc_id"), fold) == held).mapInArrow(lambda b: common.trimmed(run(b)), _KIND)
 
 
 def _met(batches):
     """Total training counts of a bucket's words, and an answer to each flush."""
-    for rows in _grouped(batches, 0):
-        yield _rows([r for r in rows if r[1] == TABLE])
-        entries = [r for r in rows if r[1] == ENTRY]
-        if not entries:
-            continue
-        h = np.concatenate([np.frombuffer(r[6], np.uint64) for r in entries])
-        n = np.concatenate([np.frombuffer(r[7], np.int64) for r in entries])
+    for entries in _grouped(batches, 0):
+        h = np.concatenate([np.frombuffer(r[3], np.uint64) for r in entries])
+        n = np.concatenate([np.frombuffer(r[4], np.int32) for r in entries])
         unique, of = np.unique(h, return_inverse=True)
         total = np.zeros(len(unique), np.int64)
         np.add.at(total, of, n)
-        out, at = [(0, TOTAL, 0, None, None, None, np.array([total.sum(), (total > 0).sum()], np.int64).tobytes(), b"", b"")], 0
+        out, at = [(0, TOTAL, 0, np.array([total.sum(), (total > 0).sum()], np.int64).tobytes(), b"", b"")], 0
         for r in entries:
-            m = len(r[6]) // 8
-            out.append((r[2], ANSWER, r[2], None, None, None, total[of[at : at + m]].tobytes(), r[8], b""))
+            m = len(r[3]) // 8
+            out.append((0, ANSWER, r[2], total[of[at : at + m]].tobytes(), r[5], b""))
             at += m
         yield _rows(out)
 
 
-def _bases(batches):
-    """flush, k, n_tokens, n_known, logs (sum of log10(count + 0.1)), counts (of each word, float32) of each document."""
-    for rows in _grouped(batches, 2):
-        table = next(r for r in rows if r[1] == TABLE)
-        size, word = np.frombuffer(table[6], np.int32), np.frombuffer(table[7], np.int32)
-        count = np.zeros(int(word.max()) + 1, np.int64)
-        for r in rows:
-            if r[1] == ANSWER:
-                count[np.frombuffer(r[7], np.int32)] = np.frombuffer(r[6], np.int64)
-        doc, c = np.repeat(np.arange(len(size)), size), count[word]
-        known = np.bincount(doc, weights=c > 0, minlength=len(size)).astype(np.int64)
-        logs = np.bincount(doc, weights=np.log10(c + SMOOTH), minlength=len(size))
-        ends = np.cumsum(size)
-        for at in range(0, len(size), 512):
-            to = slice(at, at + 512)
-            counts = [c[e - n : e].astype(np.float32).tobytes() for e, n in zip(ends[to].tolist(), size[to].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(counts), rows[0][2])), pa.array(np.arange(at, at + len(counts), dtype=np.int32)), pa.array(size[to].astype(np.int64)), pa.array(known[to]), pa.array(logs[to]), pa.array(counts, pa.binary())], names=["flush", "k", "n_tokens", "n_known", "logs", "counts"])
-
-
 class Attention:
     """One layer of causal self-attention over symbol classes, with a hidden layer, added to pair log frequencies."""
 
@@ -369,11 +410,6 @@ def word_begins(seqs: list[np.ndarray], size: int) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero(flat >= size)[:-1] + 1])
 
 
-def _sequence(row_a: bytes, row_b: bytes, size: int) -> np.ndarray:
-    low = np.frombuffer(row_a, np.uint16 if size <= 1 << 16 else np.uint32).astype(np.int64)
-    return low + size * np.unpackbits(np.frombuffer(row_b, np.uint8), count=len(low)).astype(np.int64)
-
-
 def scores(docs: DataFrame, fold: int = 10, held: int = 0, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", flush: int = FLUSH) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_symbols of every row.
 
@@ -385,16 +421,26 @@ def scores(docs: DataFrame, fold: int = 10, held: int = 0, path: str | None = No
     path = path or common.tokenizer_path()
     size = len(bpe.codec(path).names)
     rows = common.cut_lineage(gathered(docs, fold, held, path, id_col, text_col, flush))
-    tokens = rows.where(F.col("kind") == TOKENS).select("flush", "k", "doc_id", "held", "a", "b")
-    train = tokens.where(~F.col("held"))
-    drawn = train.orderBy(F.xxhash64("doc_id", "k"), "doc_id").where(F.length("a") <= 2 * SAMPLE_CHARS).limit(SAMPLE_DOCS).select("a", "b").collect()
-    sample = [_sequence(r.a, r.b, size) for r in drawn]
+    tables = rows.where(F.col("kind") == TABLE).select("a", "b", "c")
+
+    def drawn(batches):
+        """Of each flush the training documents that the sample may hold: those of least hash."""
+        _release()
+        for t in _tables(batches, size):
+            n = np.add.reduceat(t.length[t.word], t.begins[:-1])
+            may = np.flatnonzero((t.states == TRAINS) & (n <= SAMPLE_CHARS))
+            h = _mix(t.ids[may].view(np.uint64)).view(np.int64)
+            least = np.lexsort((t.ids[may], h))[:SAMPLE_DOCS]
+            texts = [t.symbols(t.word[t.begins[d] : t.begins[d + 1]]).astype(np.int32).tobytes() for d in may[least].tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(h[least]), pa.array(t.ids[may[least]]), pa.array(texts, pa.binary())], names=["h", "doc_id", "symbols"])
+
+    sample = [np.frombuffer(r.symbols, np.int32).astype(np.int64) for r in tables.mapInArrow(drawn, "h long, doc_id long, symbols binary").orderBy("h", "doc_id", "symbols").limit(SAMPLE_DOCS).collect()]
     kind = "i long, n long"
 
     def summed(counted, length: int) -> np.ndarray:
         """Sum of the tasks' count vectors of this length."""
         total = np.zeros(length)
-        counts = train.select("a", "b").mapInArrow(counted, kind).groupBy("i").agg(F.sum("n").alias("n")).toArrow()  # at most as many rows as the vector is long
+        counts = tables.mapInArrow(counted, kind).groupBy("i").agg(F.sum("n").alias("n")).toArrow()  # at most as many rows as the vector is long
         total[counts.column("i").to_numpy()] = counts.column("n").to_numpy()
         return total
 
@@ -402,10 +448,8 @@ def scores(docs: DataFrame, fold: int = 10, held: int = 0, path: str | None = No
         """Counts of the training documents' symbols."""
         _release()
         total = np.zeros(2 * size, np.int64)
-        for b in common.pieces(batches):
-            seqs = [_sequence(a, e, size) for a, e in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
-            if seqs:
-                total += np.bincount(np.concatenate(seqs), minlength=2 * size)
+        for t in _tables(batches, size):
+            total += t.symbol_counts(size)
         i = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(total[i])], names=["i", "n"])
 
@@ -421,9 +465,8 @@ def scores(docs: DataFrame, fold: int = 10, held: int = 0, path: str | None = No
         """Counts of the training documents: of (symbol before, class), and after them of (symbol before, symbol)."""
         _release()
         total = np.zeros(of_class + of_pair, np.int64)
-        for b in common.pieces(batches):
-            seqs = [_sequence(a, e, size) for a, e in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
-            if seqs:
+        for t in _tables(batches, size):
+            for _, seqs in t.pieces(training=True):
                 classes, before = map(np.concatenate, sequences(seqs))
                 fine = np.concatenate([np.append(fine_of[s], FINE) for s in seqs])
                 total[:of_class] += np.bincount(before * CLASSES + classes, minlength=of_class)
@@ -455,12 +498,13 @@ def scores(docs: DataFrame, fold: int = 10, held: int = 0, path: str | None = No
         seqs, mine = [], Attention(pairs)
         mine.load(model.vector())
         done = 0
-        for b in common.pieces(batches):
-            seqs += [_sequence(a, e, size) for a, e in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
-            if sum(map(len, seqs)) > 200_000:
-                x, y, fine, _ = Attention.blocks(*sequences(seqs))
-                mine.train(x, y, fine, 1, 1e-3)
-                seqs, done = [], done + len(x)
+        for t in _tables(batches, size):
+            for _, more in t.pieces(training=True):
+                seqs += more
+                if sum(map(len, seqs)) > 200_000:
+                    x, y, fine, _ = Attention.blocks(*sequences(seqs))
+                    mine.train(x, y, fine, 1, 1e-3)
+                    seqs, done = [], done + len(x)
         if seqs:
             x, y, fine, _ = Attention.blocks(*sequences(seqs))
             mine.train(x, y, fine, 1, 1e-3)
@@ -469,32 +513,12 @@ def scores(docs: DataFrame, fold: int = 10, held: int = 0, path: str | None = No
             v = mine.vector().astype(np.float64) * done
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(v) + 1)), pa.array(np.append(v, done))], names=["i", "v"])
 
-    found = train.select("a", "b").mapInArrow(local, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()  # as many rows as parameters
+    found = tables.mapInArrow(local, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()  # as many rows as parameters
     if found:
         v = np.array([r.v for r in sorted(found, key=lambda r: r.i)])
         model.load_mean(v[:-1], v[-1])
 
-    def scored(batches):
-        _release()
-        for b in common.pieces(batches):
-            if not b.num_rows:
-                continue
-            seqs = [_sequence(a, e, size) for a, e in zip(b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True)]
-            classes, before = sequences(seqs)
-            x, y, fine, of = Attention.blocks(classes, before)
-            each = model.log_probs(x, y, fine)[y >= 0]
-            ends = np.cumsum([len(c) for c in classes])
-            inner = np.ones(len(each), bool)
-            inner[ends - 1] = False
-            each[inner] += within_class(np.concatenate(seqs), np.concatenate(classes)[inner], np.concatenate(before)[inner])
-            begins = word_begins(seqs, size)
-            word = np.add.reduceat(each, begins).astype(np.float32)
-            cut = np.searchsorted(begins, np.concatenate([[0], ends]))
-            logs = [word[i:j].tobytes() for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(4)], pa.array(logs, pa.binary()), pa.array([len(s) for s in seqs], pa.int64())], names=["flush", "k", "doc_id", "held", "words", "n_symbols"])
-
-    of_model = tokens.mapInArrow(scored, "flush long, k int, doc_id long, held boolean, words binary, n_symbols long")
-    met = common.cut_lineage(rows.where(F.col("kind") != TOKENS).repartition("key").sortWithinPartitions("key").mapInArrow(_met, _KIND))
+    met = common.cut_lineage(rows.where(F.col("kind") == ENTRY).repartition("key").sortWithinPartitions("key").mapInArrow(_met, _KIND))
 
     def totals(batches):
         t = np.zeros(2, np.int64)
@@ -505,21 +529,48 @@ def scores(docs: DataFrame, fold: int = 10, held: int = 0, path: str | None = No
 
     whole = met.where(F.col("kind") == TOTAL).select("a").mapInArrow(totals, "n long, v long").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
     n, v = whole["n"] or 0, whole["v"] or 0
-    base = met.where(F.col("kind") != TOTAL).repartition("flush").sortWithinPartitions("flush").mapInArrow(_bases, "flush long, k int, n_tokens long, n_known long, logs double, counts binary")
     scale = float(np.log10(n + SMOOTH * (v + 1)))
     mix = MIX if n else 0.0
 
-    def mixed(batches):
-        """Each row with its score in place of its words' log probabilities and counts."""
-        for b in common.pieces(batches):
-            out = []
-            for logs, counts in zip(b.column(6).to_pylist(), b.column(7).to_pylist(), strict=True):
-                word, share = np.frombuffer(logs, np.float32).astype(float), np.frombuffer(counts, np.float32).astype(float) / max(1, n)
-                if mix:
-                    word = np.logaddexp(word + np.log1p(-mix), np.log(np.maximum(share * mix, 1e-300)))
-                out.append(word.sum() / np.log(10))
-            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(6)], pa.array(out, pa.float64())], names=["doc_id", "held_out", "n_tokens", "n_known", "logs", "n_symbols", "score"])
+    def word_logs(seqs: list[np.ndarray]) -> np.ndarray:
+        """The model's log probability of each word of the texts, their ends too."""
+        classes, before = sequences(seqs)
+        x, y, fine, _ = Attention.blocks(classes, before)
+        each = model.log_probs(x, y, fine)[y >= 0]
+        inner = np.ones(len(each), bool)
+        inner[np.cumsum([len(c) for c in classes]) - 1] = False
+        each[inner] += within_class(np.concatenate(seqs), np.concatenate(classes)[inner], np.concatenate(before)[inner])
+        return np.add.reduceat(each, word_begins(seqs, size))
 
-    joined = of_model.join(base, ["flush", "k"]).select("doc_id", F.col("held").alias("held_out"), "n_tokens", "n_known", "logs", "n_symbols", "words", "counts")
-    done = joined.mapInArrow(mixed, "doc_id long, held_out boolean, n_tokens long, n_known long, logs double, n_symbols long, score double")
-    return done.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), (F.col("logs") - F.col("n_tokens") * scale).alias("base_score"), "score", "n_symbols")
+    def scored(batches):
+        """Each flush's documents, from its table and the answers to it."""
+        _release()
+        for rows in _grouped(batches, 2):
+            t = Table(*next(r[3:6] for r in rows if r[1] == TABLE), size)
+            count = np.zeros(len(t.length), np.int64)
+            for r in rows:
+                if r[1] == ANSWER:
+                    count[np.frombuffer(r[4], np.int32)] = np.frombuffer(r[3], np.int64)
+            for some, seqs in t.pieces():
+                c = count[t.word[t.begins[some[0]] : t.begins[some[-1] + 1]]]
+                begins = t.begins[some] - t.begins[some[0]]
+                logs = word_logs(seqs)
+                if mix:
+                    logs = np.logaddexp(logs + np.log1p(-mix), np.log(np.maximum(c / n * mix, 1e-300)))
+                state = t.states[some]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(t.ids[some], mask=state == NO_ID),
+                        pa.array(state == HELD, mask=state == NO_ID),
+                        pa.array(t.sizes[some].astype(np.int64)),
+                        pa.array(np.add.reduceat((c > 0).astype(np.int64), begins)),
+                        pa.array(np.add.reduceat(np.log10(c + SMOOTH), begins) - t.sizes[some] * scale),
+                        pa.array(np.add.reduceat(logs, begins) / np.log(10)),
+                        pa.array(np.array([len(x) for x in seqs], np.int64)),
+                    ],
+                    names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "n_symbols"],
+                )
+
+    flushes = rows.where(F.col("kind") == TABLE).unionByName(met.where(F.col("kind") == ANSWER)).repartition("flush").sortWithinPartitions("flush")
+    done = flushes.mapInArrow(scored, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, n_symbols long")
+    return done.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score", "n_symbols")
