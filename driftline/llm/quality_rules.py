@@ -1,9 +1,13 @@
 """Quality rules: fixed base rules, then robust multivariate outliers. DataFrame functions only.
 
 Each document becomes a vector of transformed statistics. For each language and source the minimum
-covariance determinant (MCD) estimate of location and scatter is found by concentration steps: from
-coordinatewise medians, keep the three quarters of the group nearest by Mahalanobis distance,
-re-estimate from those, repeat. Documents far from their group by that distance are rejected.
+covariance determinant (MCD) estimate of location and scatter is sought as usual: from several
+starts, two concentration steps (keep the three quarters of the group nearest by Mahalanobis distance,
+re-estimate from those); the start whose scatter has the least determinant goes on until its
+determinant falls no more. The starts are deterministic: coordinatewise medians and deviations, and the
+scatter of the hyperbolic tangents and of the spatial signs of the vectors so scaled. Scatters
+are regularised by fixed floors, so that constant statistics leave them regular. Documents far from
+their group by the final distance are rejected.
 
 The text is read once. The steps work on one narrow row for each document; they are grouped
 counts, sums and quantile sketches, all with map-side partials, so a group with a third of all rows
@@ -14,7 +18,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftline.llm import common
@@ -33,9 +37,12 @@ CHI2_MEDIAN = 5.348
 SUBSET = 0.75
 #: Squared distance beyond which a document is rejected; far out in the tail of chi-square (10 or so is common).
 CUTOFF = 60.0
-#: Smaller groups are pooled.
+#: Sources with fewer documents are pooled with other such sources of the same language.
 LEAST_GROUP = 100
-STEPS = 3
+#: Concentration steps of every start, before the best goes on alone.
+FIRST_STEPS = 2
+#: A fall of the logarithm of the determinant by less ends the steps; quantile sketches are no finer.
+SETTLED = 1e-3
 #: Estimates of at most so many groups are broadcast; more are joined by a shuffle and the rows dealt out evenly again.
 BROADCAST_GROUPS = 10_000
 
@@ -53,7 +60,7 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Null texts are empty.
     """
     text = F.coalesce(docs[text_col], F.lit(""))
-    d = docs.select(docs[id_col].cast("long").alias("doc_id"), fingerprint(docs, text_col, lang_col, source_col).alias("print"), text.alias("t"), F.coalesce(docs[lang_col].cast("string"), F.lit("")).alias("g_lang"), F.coalesce(docs[source_col].cast("string"), F.lit("")).alias("g_source"))
+    d = docs.select(docs[id_col].cast("long").alias("doc_id"), fingerprint(docs, text_col, lang_col, source_col).alias("print"), text.alias("t"), *[F.coalesce(F.concat(F.lit("="), docs[c].cast("string")), F.lit("")).alias(g) for c, g in ((lang_col, "g_lang"), (source_col, "g_source"))])
     base = ["doc_id", "print", "g_lang", "g_source"]
     d = d.select(
         *base,
@@ -108,80 +115,138 @@ def _cholesky(cov: list[list[Column]], names: str) -> tuple[list[list[str]], lis
 
 
 KEY = ["g_lang", "g_source"]
+STARTED = [*KEY, "start"]
+#: Source of the pooled rows; others are empty (null) or begin with another character.
+POOLED = "*"
 
 
-def _by_group(rows: DataFrame, estimates: DataFrame) -> DataFrame:
+def _by_group(rows: DataFrame, estimates: DataFrame, keys: list[str] = KEY) -> DataFrame:
     """The rows with their group's estimates; ``estimates`` has been computed and has a row for each group."""
     if estimates.count() <= BROADCAST_GROUPS:
-        return rows.join(F.broadcast(estimates), KEY)
-    return rows.join(estimates, KEY).hint("rebalance")
+        return rows.join(F.broadcast(estimates), keys)
+    return rows.join(estimates, keys).hint("rebalance")
 
 
-def _moments(rows: DataFrame) -> DataFrame:
-    """Location, scatter's Cholesky factor of each group's rows, one row for each group."""
+def _moments(rows: DataFrame, keys: list[str], vector: str, floors: list[float]) -> DataFrame:
+    """Location m, Cholesky factor of the scatter and its log determinant of each group's rows, one row for each group."""
     p = len(FEATURES)
-    z = [F.col("z")[i] for i in range(p)]
+    z = [F.col(vector)[i] for i in range(p)]
     pairs = [(i, j) for i in range(p) for j in range(i + 1)]
-    sums = rows.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"), *[F.sum(z[i]).alias(f"s{i}") for i in range(p)], *[F.sum(z[i] * z[j]).alias(f"q{i}_{j}") for i, j in pairs])
+    sums = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *[F.sum(z[i]).alias(f"s{i}") for i in range(p)], *[F.sum(z[i] * z[j]).alias(f"q{i}_{j}") for i, j in pairs])
     n = F.col("n")
     cov = [[F.lit(0.0)] * p for _ in range(p)]
     for i, j in pairs:
-        cov[i][j] = F.col(f"q{i}_{j}") / n - F.col(f"s{i}") / n * F.col(f"s{j}") / n + (FLOORS[i] ** 2 if i == j else 0.0)
+        cov[i][j] = F.col(f"q{i}_{j}") / n - F.col(f"s{i}") / n * F.col(f"s{j}") / n + (floors[i] ** 2 if i == j else 0.0)
     name, stages = _cholesky(cov, "l")
     out = sums
     for s in stages:
         out = out.withColumns(dict(s))
-    return out.select(*KEY, F.array(*[F.col(f"s{i}") / n for i in range(p)]).alias("m"), *[name[i][j] for i, j in pairs])
+    determinant = 2 * reduce(lambda a, b: a + b, [F.log(name[i][i]) for i in range(p)])
+    return out.select(*keys, determinant.alias("logdet"), F.array(*[F.col(f"s{i}") / n for i in range(p)]).alias("m"), *[name[i][j] for i, j in pairs])
 
 
-def _with_distance(stats: DataFrame, estimates: DataFrame) -> DataFrame:
+def _with_distance(rows: DataFrame, estimates: DataFrame, keys: list[str] = KEY, vector: str = "z") -> DataFrame:
     """Adds the squared Mahalanobis distance: forward substitution with the factor, a column for each step."""
     p = len(FEATURES)
-    out = _by_group(stats, estimates)
+    out = _by_group(rows, estimates, keys)
     for i in range(p):
         rest = sum((F.col(f"l{i}_{k}") * F.col(f"y{k}") for k in range(i)), F.lit(0.0))
-        out = out.withColumn(f"y{i}", (F.col("z")[i] - F.col("m")[i] - rest) / F.col(f"l{i}_{i}"))
-    return out.select(*stats.columns, reduce(lambda a, b: a + b, [F.col(f"y{i}") * F.col(f"y{i}") for i in range(p)]).alias("d"))
+        out = out.withColumn(f"y{i}", (F.col(vector)[i] - F.col("m")[i] - rest) / F.col(f"l{i}_{i}"))
+    return out.select(*rows.columns, reduce(lambda a, b: a + b, [F.col(f"y{i}") * F.col(f"y{i}") for i in range(p)]).alias("d"))
 
 
-def outlier_distances(stats: DataFrame) -> DataFrame:
-    """The rows with ``d``: squared robust distance from their group, scaled so that its median is chi-square's."""
+def _concentrated(d: DataFrame, keys: list[str] = KEY) -> DataFrame:
+    """One concentration step: estimates from each group's rows of least distance."""
+    bound = cut_lineage(d.groupBy(*keys).agg(F.percentile_approx("d", SUBSET, 2000).alias("bound")))
+    return cut_lineage(_moments(_by_group(d, bound, keys).where("d <= bound"), keys, "z", FLOORS))
+
+
+def _starts(rows: DataFrame) -> DataFrame:
+    """Each group's starting scatters of u, its location being the median (zero in u)."""
+    p = len(FEATURES)
+    length = F.sqrt(F.aggregate("u", F.lit(0.0), lambda a, x: a + x * x))
+    bounded = F.array(F.transform("u", lambda x: F.tanh(x)), F.transform("u", lambda x: x / F.greatest(length, F.lit(1e-9))))
+    spread = _moments(rows.select(*KEY, F.posexplode(bounded).alias("start", "v")), STARTED, "v", [0.1] * p)
+    zero = F.array(*[F.lit(0.0)] * p)
+    spread = spread.withColumns({"start": F.col("start") + 1, "m": zero})
+    plain = rows.select(*KEY).distinct().select(*KEY, F.lit(0).alias("start"), F.lit(0.0).alias("logdet"), zero.alias("m"), *[F.lit(float(i == j)).alias(f"l{i}_{j}") for i in range(p) for j in range(i + 1)])
+    return cut_lineage(plain.unionByName(spread))
+
+
+def _least(estimates: DataFrame) -> DataFrame:
+    """Of each group's estimates the one of least determinant (ties: the earlier)."""
+    rest = [c for c in estimates.columns if c not in STARTED]
+    best = estimates.groupBy(*KEY).agg(F.min_by(F.struct(*rest), F.struct("logdet", "start")).alias("e"))
+    return cut_lineage(best.select(*KEY, *[F.col("e")[c].alias(c) for c in rest]))
+
+
+def determinant_estimates(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The estimates of least determinant found for each group of ``rows`` (z, u), and all starts' after their first steps.
+
+    Each round lowers some group's determinant, which the floors bound from below, so the rounds end.
+    """
+    each = rows.withColumn("start", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
+    d = _with_distance(each, _starts(rows), STARTED, "u")
+    for k in range(FIRST_STEPS):
+        tried = _concentrated(d, STARTED)
+        if k < FIRST_STEPS - 1:
+            d = _with_distance(each, tried, STARTED)
+    best = _least(tried)
+    while True:
+        new = _concentrated(_with_distance(rows, best))
+        fall = best.select(*KEY, F.col("logdet").alias("was")).join(new, KEY).agg(F.max(F.col("was") - F.col("logdet"))).first()[0]
+        best = _least(best.withColumn("start", F.lit(0)).unionByName(new.withColumn("start", F.lit(1))))
+        if fall is None or fall < SETTLED:
+            return best, tried
+
+
+def _scaled(stats: DataFrame) -> DataFrame:
+    """The rows with z, the transformed statistics, and u, those from the group's medians in its robust deviations."""
     p = len(FEATURES)
-    sizes = cut_lineage(stats.groupBy(*KEY).agg(F.count(F.lit(1)).alias("rows")))
-    small = F.col("rows") < LEAST_GROUP
-    stats = _by_group(stats, sizes).withColumns({k: F.when(small, F.lit("*")).otherwise(F.col(k)) for k in KEY}).drop("rows")
     stats = cut_lineage(stats.withColumn("z", F.array(*features())))
     middle = stats.groupBy(*KEY).agg(*[F.percentile_approx(F.col("z")[i], 0.5, 2000).alias(f"m{i}") for i in range(p)])
     middle = cut_lineage(middle.select(*KEY, F.array(*[f"m{i}" for i in range(p)]).alias("m")))
     away = _by_group(stats, middle)
     spread = away.groupBy(*KEY).agg(*[F.percentile_approx(F.abs(F.col("z")[i] - F.col("m")[i]), 0.5, 2000).alias(f"a{i}") for i in range(p)])
     first = cut_lineage(middle.join(spread, KEY))
-    scaled = [(F.col("z")[i] - F.col("m")[i]) / F.sqrt(F.pow(1.4826 * F.col(f"a{i}"), 2) + FLOORS[i] ** 2) for i in range(p)]
-    d = _by_group(stats, first).withColumn("d", reduce(lambda a, b: a + b, [s * s for s in scaled])).select(*stats.columns, "d")
-    for _ in range(STEPS):
-        bound = d.groupBy(*KEY).agg(F.percentile_approx("d", SUBSET, 2000).alias("bound"))
-        bound = cut_lineage(bound)
-        estimates = cut_lineage(_moments(_by_group(d, bound).where("d <= bound")))
-        d = _with_distance(stats, estimates)
+    u = [(F.col("z")[i] - F.col("m")[i]) / F.sqrt(F.pow(1.4826 * F.col(f"a{i}"), 2) + FLOORS[i] ** 2) for i in range(p)]
+    return cut_lineage(_by_group(stats, first).select(*stats.columns, F.array(*u).alias("u")))
+
+
+def outlier_distances(stats: DataFrame) -> DataFrame:
+    """The rows with ``d``: squared robust distance from their group, scaled so that its median is chi-square's.
+
+    Sources of fewer than LEAST_GROUP rows are pooled within their language, never over languages; where that pool is as
+    small, six variances and their correlations cannot be told from so few rows, and d is null.
+    """
+    sizes = cut_lineage(stats.groupBy(*KEY).agg(F.count(F.lit(1)).alias("rows")))
+    small = F.col("rows") < LEAST_GROUP
+    pools = cut_lineage(sizes.withColumn("pool", F.sum(F.when(small, F.col("rows"))).over(Window.partitionBy("g_lang"))))
+    stats = _by_group(stats, pools).withColumns({"g_source": F.when(small, F.lit(POOLED)).otherwise(F.col("g_source")), "few": small & (F.col("pool") < LEAST_GROUP)}).drop("rows", "pool")
+    stats = cut_lineage(stats)
+    rows = _scaled(stats.where("not few").drop("few"))
+    best, _ = determinant_estimates(rows)
+    d = _with_distance(rows, best).drop("u")
     scale = cut_lineage(d.groupBy(*KEY).agg(F.percentile_approx("d", 0.5, 2000).alias("half")))
-    return _by_group(d, scale).withColumn("d", F.col("d") * CHI2_MEDIAN / F.greatest(F.col("half"), F.lit(CHI2_MEDIAN / 4))).drop("half", "z")
+    far = _by_group(d, scale).withColumn("d", F.col("d") * CHI2_MEDIAN / F.greatest(F.col("half"), F.lit(CHI2_MEDIAN / 4))).drop("half", "z")
+    return far.unionByName(stats.where("few").drop("few").withColumn("d", F.lit(None).cast("double")))
 
 
 def judged(docs: DataFrame, cutoff: float = CUTOFF, **columns) -> DataFrame:
     """Fingerprint, counts, base_failed, distance and kept of every row, without the texts.
 
     Documents that fail the base rules are rejected and take no part in the estimates. Null and
-    empty texts fail them. Null languages and sources are groups of their own; groups of fewer than
-    LEAST_GROUP passing documents are pooled. Repeated rows and null ids are judged like others.
-    A finished statistic is never null, so no distance is. An empty table gives no rows; other
-    columns are ignored.
+    empty texts fail them. Null languages and sources are groups of their own; sources of fewer than
+    LEAST_GROUP passing documents are pooled within their language, and where such a pool has fewer itself its
+    documents are kept, without a distance. Repeated rows and null ids are judged like others.
+    An empty table gives no rows; other columns are ignored.
     """
     stats = statistics(docs, **columns)
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     stats = cut_lineage(stats.withColumn("base_failed", failed))
     far = outlier_distances(stats.where("not base_failed"))
     names = [c for c in stats.columns if c not in KEY]
-    passing = far.select(*names, F.col("d").alias("distance"), (F.col("d") <= cutoff).alias("kept"))
+    passing = far.select(*names, F.col("d").alias("distance"), F.coalesce(F.col("d") <= cutoff, F.lit(True)).alias("kept"))
     failing = stats.where("base_failed").select(*names, F.lit(None).cast("double").alias("distance"), F.lit(False).alias("kept"))
     return passing.unionByName(failing)
 
