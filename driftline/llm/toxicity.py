@@ -6,8 +6,8 @@ rate in others. A CRF with tags outside/toxic is trained on those labelled seque
 forward-backward marginals give the offending offsets, and their sum gives the document's score
 through a fitted logistic curve.
 
-Training uses a bounded, documented sample of labelled rows; scoring reads every whole text once,
-without shuffle.
+Training uses a bounded, documented sample of labelled rows, as stretches of at most CHAIN tokens;
+scoring reads every whole text once, without shuffle, as one chain however long it is.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from driftline.llm import common
 
 #: Bounds of the training sample: documents of either label, and characters of one.
 TOXIC_DOCS, CLEAN_DOCS, SAMPLE_CHARS = 1200, 3600, 10_000
-#: Tokens of a chain; longer texts are cut.
+#: Tokens of a training stretch, and of a row in which a whole chain is laid out for scoring.
 CHAIN = 64
 #: Kept word scores of a worker.
 CACHE = 500_000
@@ -79,30 +79,60 @@ def forward_backward(e: np.ndarray, start: float, move: np.ndarray) -> tuple[np.
     return alpha[:, :, 1] * beta[:, :, 1], pairs, np.log(scale).sum(1)
 
 
-def toxic_marginals(e: np.ndarray, start: float, move: np.ndarray) -> np.ndarray:
-    """Marginals only, from ratios of the two tags' messages."""
-    n, length = e.shape
-    (m00, m01), (m10, m11) = np.exp(move)
+def toxic_marginals(e: np.ndarray, live: np.ndarray, texts: np.ndarray, start: float, move: np.ndarray) -> np.ndarray:
+    """Marginals of the toxic tag of whole chains that are laid out over rows.
+
+    ``e`` (rows, length) holds emissions, ``live`` says which are real (a chain's last row may be short), and
+    chain k is rows texts[k] to texts[k + 1]. A row acts on the two tags' messages as a 2 x 2 matrix, the product of its steps; these
+    carry the messages from row to row, and then all rows run side by side from what reaches them.
+    """
+    rows, length = e.shape
+    m = np.exp(move)
+    (m00, m01), (m10, m11) = m
     obs = np.exp(np.clip(e, -30, 30))
-    ahead = np.empty((length, n))
-    r = obs[:, 0] * np.exp(start)
+    into, after = np.full(rows, np.nan), np.ones(rows)  # odds that reach a row from before (none: NaN) and from behind
+    several = np.repeat(np.diff(texts) > 1, np.diff(texts))
+    if several.any():
+        at = np.flatnonzero(several)
+        product = np.broadcast_to(np.eye(2), (len(at), 2, 2)).copy()
+        for t in range(length):
+            on = live[at, t]
+            step = product @ m
+            step[:, :, 1] *= obs[at, t, None]
+            step /= step.sum((1, 2), keepdims=True)
+            product[on] = step[on]
+        a, b, c, d = (dict(zip(at.tolist(), v.tolist(), strict=True)) for v in product.reshape(-1, 4).T)
+        for k in np.flatnonzero(np.diff(texts) > 1).tolist():
+            i, j = int(texts[k]), int(texts[k + 1])
+            r = float(obs[i, 0] * np.exp(start))
+            for x in obs[i, 1:].tolist():
+                r = x * (m01 + r * m11) / (m00 + r * m10)
+            for n in range(i + 1, j):
+                into[n] = r
+                r = (b[n] + r * d[n]) / (a[n] + r * c[n])
+            r = 1.0
+            for n in range(j - 1, i, -1):
+                r = (c[n] + r * d[n]) / (a[n] + r * b[n])
+                after[n - 1] = r
+    ahead = np.empty((length, rows))
+    r = obs[:, 0] * np.where(np.isnan(into), np.exp(start), (m01 + into * m11) / (m00 + into * m10))
     ahead[0] = r
     for t in range(1, length):
         r = obs[:, t] * (m01 + r * m11) / (m00 + r * m10)
         ahead[t] = r
-    out = np.empty((n, length))
-    b = np.ones(n)
+    out = np.empty((rows, length))
+    back = after
     for t in range(length - 1, -1, -1):
         if t < length - 1:
-            q = obs[:, t + 1] * b
-            b = (m10 + q * m11) / (m00 + q * m01)
-        odds = ahead[t] * b
+            q = obs[:, t + 1] * back
+            back = np.where(live[:, t + 1], (m10 + q * m11) / (m00 + q * m01), back)
+        odds = ahead[t] * back
         out[:, t] = odds / (1 + odds)
     return out
 
 
-def chains(values: np.ndarray, begins: np.ndarray, length: int = CHAIN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Flat values of several texts as padded rows of one length; each value's row and column."""
+def chains(values: np.ndarray, begins: np.ndarray, length: int = CHAIN) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Flat values of several texts over padded rows of one length; each value's row and column, and where each text's rows begin."""
     size = np.diff(begins)
     rows_of = -(-size // length)
     first = np.concatenate([[0], np.cumsum(rows_of)])
@@ -110,7 +140,7 @@ def chains(values: np.ndarray, begins: np.ndarray, length: int = CHAIN) -> tuple
     row, col = np.repeat(first[:-1], size) + at // length, at % length
     out = np.full((int(first[-1]), length), _FLAT)
     out[row, col] = values
-    return out, row, col
+    return out, row, col, first
 
 
 def lexicon(texts: list[list[bytes]], toxic: list[bool]) -> set[bytes]:
@@ -225,13 +255,15 @@ def _marginals(words: list[list[bytes]], model: Crf) -> tuple[np.ndarray, np.nda
     begins = np.array(begins)
     if not flat:
         return np.zeros(0), begins
-    e, row, col = chains(np.array(flat), begins)
-    return toxic_marginals(e, model.start, model.move)[row, col], begins
+    e, row, col, first = chains(np.array(flat), begins)
+    live = np.zeros(e.shape, bool)
+    live[row, col] = True
+    return toxic_marginals(e, live, first, model.start, model.move)[row, col], begins
 
 
 def _sums(p: np.ndarray, begins: np.ndarray) -> np.ndarray:
-    """Sums of the marginals that are no noise."""
-    total = np.concatenate([[0.0], np.cumsum(np.where(p > 0.02, p, 0.0))])
+    """Sums of the squared marginals: every token counts, and many faint ones stay faint."""
+    total = np.concatenate([[0.0], np.cumsum(p * p)])
     return np.maximum(total[begins[1:]] - total[begins[:-1]], 0.0)
 
 
@@ -283,11 +315,11 @@ def score(docs: DataFrame, model: Crf, id_col: str = "doc_id", text_col: str = "
                     offsets.append([])
                     counts.append(0)
                     continue
+                points = np.concatenate([[0], np.cumsum((np.frombuffer(t, np.uint8) & 0xC0) != 0x80)])  # code points before each byte
                 places, last = [], -2
                 for n, found in enumerate(re.finditer(rb"[^\x20\x09-\x0D]+", t)):
                     if hot[i + n]:
-                        begin = len(t[: found.start()].decode())
-                        end = begin + len(found.group().decode())
+                        begin, end = int(points[found.start()]), int(points[found.end()])
                         if last == n - 1:
                             places[-1] = end
                         else:
@@ -304,7 +336,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, at: float = 0.3) -> DataFrame:
     """doc_id, held_out, score, predicted, n_spans, offsets of every document.
 
     Labels are learned only from rows whose crc32(doc_id) mod 4 is not 2. Without any usable label
-    every score is 0.5. ``held_out`` is null where the id is.
+    every score is 0.5. A document that is labelled both ways is learned from once for each label. ``held_out`` is null where the id is.
     """
     sample = training_sample(docs, labels, 4, 2, "toxic", (CLEAN_DOCS, TOXIC_DOCS))
     model = train([t for t, _ in sample], [bool(y) for _, y in sample])

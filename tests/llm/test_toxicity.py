@@ -1,5 +1,6 @@
 import itertools
 import random
+import re
 import zlib
 
 import numpy as np
@@ -23,7 +24,46 @@ def test_forward_backward_against_all_taggings():
             for k in range(4):
                 two[k, tags[k], tags[k + 1]] += w
         assert np.allclose(p[i], mine / z) and np.allclose(pairs[i], two / z) and np.isclose(logz[i], np.log(z))
-    assert np.allclose(tx.toxic_marginals(e, start, move), p)
+    assert np.allclose(tx.toxic_marginals(e, np.ones(e.shape, bool), np.arange(4), start, move), p)
+
+
+def test_whole_texts_are_one_chain():
+    """Texts of any length, laid out over rows, against forward-backward over each text alone."""
+    rng = np.random.default_rng(1)
+    start, move = -0.7, rng.normal(size=(2, 2))
+    sizes = [0, 1, 4, 5, 6, 10, 11, 333, 1]
+    begins = np.concatenate([[0], np.cumsum(sizes)])
+    values = rng.normal(scale=2, size=begins[-1])
+    e, row, col, first = tx.chains(values, begins, 5)
+    live = np.zeros(e.shape, bool)
+    live[row, col] = True
+    got = tx.toxic_marginals(e, live, first, start, move)[row, col]
+    for i, j in zip(begins[:-1], begins[1:]):
+        if j > i:
+            assert np.allclose(got[i:j], tx.forward_backward(values[None, i:j], start, move)[0][0])
+
+
+def test_scores_are_those_of_the_marginals(spark):
+    """Score and offsets of every document from forward-backward over its whole chain, by plain code."""
+    rows, labels = frame(spark, 160)
+    rows.append((500, " ".join(r[1] for r in rows), "", "", ""))
+    rows.append((501, "é zorg, 😀  zorgling!\tÄ quxxab", "", "", ""))
+    docs = spark.createDataFrame(rows, SCHEMA)
+    model = tx.train([r[1].encode() for r in rows[:160]], [bool(y) for _, _, y in labels])
+    for r, (_, text, *_) in zip(sorted(tx.score(docs, model).collect(), key=lambda r: r.doc_id), rows, strict=True):
+        found = list(re.finditer(r"[^\x20\x09-\x0D]+", text))
+        e = np.array([[model.emission(x.group().encode().lower()) for x in found]])
+        p = tx.forward_backward(e, model.start, model.move)[0][0]
+        s = 1 / (1 + np.exp(-(model.curve[0] + model.curve[1] * np.log((p * p).sum() + 1e-3))))
+        assert abs(s - r.score) < 1e-9
+        spans, last = [], -2
+        for n in np.flatnonzero(p >= tx.SPAN_AT).tolist():
+            if last == n - 1:
+                spans[-1] = found[n].end()
+            else:
+                spans += [found[n].start(), found[n].end()]
+            last = n
+        assert spans == r.offsets
 
 
 def frame(spark, n=400):
