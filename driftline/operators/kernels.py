@@ -236,8 +236,9 @@ class SquareRootUkf(Ekf):
 FILTERS = {"ekf": Ekf, "ukf": Ukf, "srukf": SquareRootUkf}
 
 
-def run(filter_, x0, p0, t, y, first: str = "update", live=None):
-    """Filters all steps of a batch: t (b, k), y (b, k, ny), NaN rows in y predict only, ``live`` (b, k) marks real steps.
+def run(filter_, x0, p0, t, y, first: str = "update", live=None, u=None):
+    """Filters all steps of a batch: t (b, k), y (b, k, ny), NaN rows in y predict only, ``live`` (b, k) marks real steps,
+    the control u (b, k, nu) of a step drives the prediction that leads to it.
 
     Returns arrays over (k, b): x, p, x_pred, p_pred, cross, nis, status (0 fine, 1 not finite: the prior
     state stays, so that one bad step does not spoil the series).
@@ -254,7 +255,7 @@ def run(filter_, x0, p0, t, y, first: str = "update", live=None):
     for k in range(steps):
         before, new, cross = state, state, np.zeros((b, n, n))
         if k or first == "predict":
-            new, cross = filter_.predict(state, t[:, max(k - 1, 0)])
+            new, cross = filter_.predict(state, t[:, max(k - 1, 0)], None if u is None else u[:, k])
         pred = new
         seen = ~np.isnan(y[:, k]).any(-1)
         if seen.any() and not (k == 0 and first == "skip"):
@@ -299,12 +300,12 @@ def fixed_lag(r, lag: int):
     return xs, ps
 
 
-def iterated(make, x0, p0, t, y, rounds: int, first="update", live=None):
+def iterated(make, x0, p0, t, y, rounds: int, first="update", live=None, u=None):
     """Backward pass, then ``rounds`` times: restart from the smoothed first state with the original covariance."""
-    r = run(make(), x0, p0, t, y, first, live)
+    r = run(make(), x0, p0, t, y, first, live, u)
     xs, ps = rts(r)
     for _ in range(rounds):
-        r = run(make(), xs[0], p0, t, y, first, live)
+        r = run(make(), xs[0], p0, t, y, first, live, u)
         xs, ps = rts(r)
     return r, xs, ps
 

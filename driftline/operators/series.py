@@ -7,102 +7,186 @@ batch and not for each row. A series that record batches split is held until it
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftline.operators import kernels
 
-#: Series and rows of a batch, at most (a longer series is a batch of its own).
-SERIES, ROWS = 256, 200_000
-OUT = "series_id long, k int, t double, x array<double>, p array<double>, nis double, x_smooth array<double>, p_smooth array<double>, status int"
+#: Series, padded rows and padded covariance entries of a batch, at most (a longer series is a batch of its own).
+SERIES, ROWS, ENTRIES = 256, 200_000, 2_000_000
+OUT = "series_id long, k int, t double, x array<double>, p array<double>, nis double, x_smooth array<double>, p_smooth array<double>, status int, gated boolean"
 
 
-def whole_series(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, np.ndarray, list]]]:
-    """Lists of (series_id, t, y rows)."""
-    held: list[tuple[int, list, list]] = []
-    rows = 0
+@dataclass
+class Series:
+    """Rows of one series as arrays over its steps; prior and model where they are given by series."""
+
+    id: int
+    t: np.ndarray
+    y: np.ndarray
+    u: np.ndarray | None = None
+    x0: np.ndarray | None = None
+    p0: np.ndarray | None = None
+    model: str | None = None
+
+
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
+    """Rows of a list column; null rows and components are NaN."""
+    size = np.asarray(pc.fill_null(pc.list_value_length(column), -1))
+    if ((size >= 0) & (size != width)).any():
+        raise ValueError(f"arrays of {width} numbers expected, got {sorted(set(size[size >= 0].tolist()))}")
+    out = np.full((len(column), width), np.nan)
+    out[size >= 0] = np.asarray(column.flatten().to_numpy(zero_copy_only=False), float).reshape(-1, width)
+    return out
+
+
+def whole_series(batches: Iterator[pa.RecordBatch], ny: int, rows: int = ROWS, nu: int = 0) -> Iterator[list[Series]]:
+    """Lists of whole series, whose number times the longest one's steps is at most ``rows`` (or one series)."""
+    held: list[list[Series]] = []  # the parts of each series
+    longest = 0
     for b in batches:
-        for s, t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-            if not held or held[-1][0] != s:
-                if len(held) >= SERIES or rows >= ROWS:
-                    yield held
-                    held, rows = [], 0
-                held.append((s, [], []))
-            held[-1][1].append(t)
-            held[-1][2].append(y)
-            rows += 1
+        if not b.num_rows:
+            continue
+        names = set(b.schema.names)
+        ids, t, y = b.column(0).to_numpy(), b.column(1).to_numpy(), _matrix(b.column(2), ny)
+        u = _matrix(b.column("u"), nu) if "u" in names else None
+        cuts = [0, *(np.flatnonzero(np.diff(ids)) + 1).tolist(), len(ids)]
+        for i, j in zip(cuts, cuts[1:]):
+            if not held or held[-1][0].id != ids[i]:
+                if held:
+                    size = sum(len(part.t) for part in held[-1])
+                    if len(held) > 1 and max(longest, size) * len(held) > rows:
+                        yield [_joined(parts) for parts in held[:-1]]
+                        held, longest = held[-1:], 0
+                    longest = max(longest, size)
+                    if len(held) >= SERIES or longest * (len(held) + 1) > rows:
+                        yield [_joined(parts) for parts in held]
+                        held, longest = [], 0
+                own = {c: b.column(c)[i].as_py() for c in ("x0", "p0", "model") if c in names}
+                held.append([])
+            else:
+                own = {}
+            held[-1].append(Series(int(ids[i]), t[i:j], y[i:j], None if u is None else u[i:j], **own))
     if held:
-        yield held
+        size = sum(len(part.t) for part in held[-1])
+        if len(held) > 1 and max(longest, size) * len(held) > rows:
+            yield [_joined(parts) for parts in held[:-1]]
+            held = held[-1:]
+        yield [_joined(parts) for parts in held]
+
+
+def _joined(parts: list[Series]) -> Series:
+    first = parts[0]
+    return Series(first.id, np.concatenate([s.t for s in parts]), np.concatenate([s.y for s in parts]), None if first.u is None else np.concatenate([s.u for s in parts]), first.x0, first.p0, first.model)
 
 
-def padded(series: list, ny: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """ids, t, y and which steps are real; a null measurement is NaN."""
-    longest = max(len(t) for _, t, _ in series)
+def padded(series: list[Series], ny: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """ids, t, y and which steps are real."""
+    longest = max(len(s.t) for s in series)
     t, y = np.zeros((len(series), longest)), np.full((len(series), longest, ny), np.nan)
     live = np.zeros((len(series), longest), bool)
-    for i, (_, times, rows) in enumerate(series):
-        n = len(times)
-        t[i, :n], t[i, n:], live[i, :n] = times, times[-1], True
-        for k, row in enumerate(rows):
-            if row is not None:
-                y[i, k] = [np.nan if v is None else v for v in row]
-    return np.array([s for s, _, _ in series]), t, y, live
+    for i, s in enumerate(series):
+        n = len(s.t)
+        t[i, :n], t[i, n:], y[i, :n], live[i, :n] = s.t, s.t[-1], s.y, True
+    return np.array([s.id for s in series]), t, y, live
 
 
-def _lists(a: np.ndarray) -> pa.Array:
-    flat = a.reshape(len(a), -1)
-    return pa.ListArray.from_arrays(pa.array(np.arange(0, flat.size + 1, flat.shape[1] if flat.size else 1, dtype=np.int32)), pa.array(flat.ravel()))
+def _controls(series: list[Series], longest: int, nu: int) -> np.ndarray | None:
+    if not nu:
+        return None
+    u = np.zeros((len(series), longest, nu))
+    for i, s in enumerate(series):
+        u[i, : len(s.u)] = np.nan_to_num(s.u)
+    return u
 
 
-def filtered(measurements: DataFrame, make: Callable[[], kernels.Ekf], x0, p0, smoother: str | None = None, lag: int = 0, rounds: int = 0, first: str = "update") -> DataFrame:
+def _lists(a: np.ndarray, has: np.ndarray | None = None) -> pa.Array:
+    """Rows of an array as lists; those that ``has`` leaves out are null."""
+    flat = a.reshape(len(a), -1)
+    at = pa.array(np.arange(len(a) + 1, dtype=np.int32) * flat.shape[1])
+    return pa.ListArray.from_arrays(at, pa.array(flat.ravel()), mask=None if has is None else pa.array(~has))
+
+
+def filtered(
+    measurements: DataFrame,
+    make: Callable[[], kernels.Ekf] | Mapping[str, Callable[[], kernels.Ekf]],
+    x0,
+    p0,
+    smoother: str | None = None,
+    lag: int = 0,
+    rounds: int = 0,
+    first: str = "update",
+    by_series: DataFrame | None = None,
+    nu: int = 0,
+) -> DataFrame:
     """One row for each measurement: estimate, covariance (row by row), NIS and status, and the smoothed estimate of the same step.
 
     ``measurements`` has series_id, t, y (array); rows are put in time order here. ``smoother`` is
     None, "fixed_lag" (the last ``lag`` rows of a series have no smoothed value: null) or "full"
     (``rounds`` more passes for the iterated smoother). Rows with a null series or time take no part; a
-    null y only predicts; at equal times the order is that of y.
+    null y only predicts; at equal times the order is that of y. ``gated`` says that the NIS is beyond the filter's gate.
+
+    ``by_series`` has series_id, x0, p0 (row by row) and model: a series' own prior and, where ``make`` maps names to
+    filters, its own filter. A series without a row or with a null there takes ``x0``, ``p0`` and the first filter; of several rows the least counts. With
+    ``nu`` the measurements have a control u of that many numbers, which drives the prediction that leads to its row (null: zeros).
     """
     x0, p0 = np.asarray(x0, float), np.asarray(p0, float)
+    makers = dict(make) if isinstance(make, Mapping) else {None: make}
+    default, n = next(iter(makers)), x0.shape[-1]
 
     def run(batches):
-        for series in whole_series(batches):
-            f = make()
-            ids, t, y, live = padded(series, f.m.ny)
-            if smoother == "full":
-                # a padded step would smooth the real ones, so series of equal length go together
-                groups = {}
-                for i, n in enumerate(live.sum(1).tolist()):
-                    groups.setdefault(n, []).append(i)
-                for n, at in groups.items():
-                    r, xs, ps = kernels.iterated(make, x0, p0, t[at, :n], y[at, :n], rounds, first)
-                    yield emit(ids[at], t[at, :n], live[at, :n], r, xs, ps)
-                continue
-            r = kernels.run(f, x0, p0, t, y, first, live)
-            xs = ps = None
+        ny = makers[default]().m.ny
+        for series in whole_series(batches, ny, max(1, min(ROWS, ENTRIES // (n * n))), nu):
+            # a padded step would smooth the real ones, so with the full smoother series of equal length go together
+            groups = {}
+            for s in series:
+                groups.setdefault((default if s.model is None else s.model, len(s.t) if smoother == "full" else 0), []).append(s)
+            for (name, _), same in groups.items():
+                yield part(makers[name], same, ny)
+
+    def part(maker, series, ny):
+        f = maker()
+        ids, t, y, live = padded(series, ny)
+        u = _controls(series, t.shape[1], nu)
+        x, p = x0, p0
+        if any(s.x0 is not None or s.p0 is not None for s in series):
+            x = np.stack([x0 if s.x0 is None else np.asarray(s.x0, float) for s in series])
+            p = np.stack([p0 if s.p0 is None else np.asarray(s.p0, float).reshape(n, n) for s in series])
+        xs = ps = None
+        if smoother == "full":
+            r, xs, ps = kernels.iterated(maker, x, p, t, y, rounds, first, u=u)
+        else:
+            r = kernels.run(f, x, p, t, y, first, live, u)
             if smoother == "fixed_lag":
                 xs, ps = kernels.fixed_lag(r, lag)
-            yield emit(ids, t, live, r, xs, ps)
+        return emit(ids, t, live, r, xs, ps, getattr(f, "gate", np.inf))
 
-    def emit(ids, t, live, r, xs, ps):
-        steps, b = r["nis"].shape
+    def emit(ids, t, live, r, xs, ps, gate):
         i, k = np.nonzero(live)
-        n = np.asarray(live.sum(1))
-        names = ["series_id", "k", "t", "x", "p", "nis", "x_smooth", "p_smooth", "status"]
-        columns = [pa.array(ids[i]), pa.array(k.astype(np.int32)), pa.array(t[i, k]), _lists(r["x"][k, i]), _lists(r["p"][k, i]), pa.array(r["nis"][k, i], from_pandas=True)]
-        if xs is None:
+        size = np.asarray(live.sum(1))
+        names = [c.split()[0] for c in OUT.split(", ")]
+        nis = r["nis"][k, i]
+        columns = [pa.array(ids[i]), pa.array(k.astype(np.int32)), pa.array(t[i, k]), _lists(r["x"][k, i]), _lists(r["p"][k, i]), pa.array(nis, from_pandas=True)]
+        if xs is None or not len(xs):
             columns += [pa.nulls(len(i), pa.list_(pa.float64()))] * 2
         else:
-            has = k < n[i] - (lag if smoother == "fixed_lag" else 0)
-            for a in (xs, ps):
-                rows = [a[kk, ii].ravel() if h else None for kk, ii, h in zip(k.tolist(), i.tolist(), has.tolist(), strict=True)]
-                columns.append(pa.array(rows, pa.list_(pa.float64())))
-        return pa.RecordBatch.from_arrays([*columns, pa.array(r["status"][k, i].astype(np.int32))], names=names)
-
-    rows = measurements.select(F.col("series_id").cast("long"), F.col("t").cast("double"), F.col("y").cast("array<double>")).where("series_id is not null and t is not null")
+            has = k < size[i] - (lag if smoother == "fixed_lag" else 0)
+            at = np.where(has, k, 0)
+            columns += [_lists(a[at, i], has) for a in (xs, ps)]
+        columns += [pa.array(r["status"][k, i].astype(np.int32)), pa.array(np.nan_to_num(nis) > gate)]
+        return pa.RecordBatch.from_arrays(columns, names=names)
+
+    rows = measurements.select(F.col("series_id").cast("long"), F.col("t").cast("double"), F.col("y").cast("array<double>"), *[F.col("u").cast("array<double>")] * bool(nu)).where("series_id is not null and t is not null")
+    if by_series is not None:
+        own = by_series.select(F.col("series_id").cast("long"), *[F.col(c).cast("array<double>") if c in by_series.columns else F.lit(None).cast("array<double>").alias(c) for c in ("x0", "p0")], (F.col("model").cast("string") if "model" in by_series.columns else F.lit(None).cast("string")).alias("model"))
+        least = own.groupBy("series_id").agg(F.min(F.struct("x0", "p0", "model")).alias("own"))
+        rows = rows.join(least, "series_id", "left").select(*rows.columns, "own.x0", "own.p0", "own.model")
     return rows.repartition("series_id").sortWithinPartitions("series_id", "t", "y").mapInArrow(run, OUT)
 
 
@@ -116,7 +200,7 @@ def particle_filtered(measurements: DataFrame, run_one: Callable, ny: int, lag:
     """
 
     def run(batches):
-        for series in whole_series(batches):
+        for series in whole_series(batches, ny):
             for s in series:
                 ids, t, y, _ = padded([s], ny)
                 mean, smooth, size = run_one(int(ids[0]), t[0], y[0])

@@ -10,8 +10,8 @@ METRICS = ["Filter", "Problem", "RMSE_Overall", "RMSE_Smoothed_Overall", "Median
 
 
 def write_metrics(metrics: DataFrame, path: str) -> None:
-    """Header and one row for each metrics row; what never converged is an empty cell."""
-    metrics.select(*METRICS).write.mode("overwrite").option("header", True).option("nullValue", "").option("emptyValue", "").csv(path)
+    """Header and one row for each metrics row; what never converged or was not timed is an empty cell."""
+    metrics.select(*[F.col(c) if c in metrics.columns else F.lit(None).cast("double").alias(c) for c in METRICS]).write.mode("overwrite").option("header", True).option("nullValue", "").option("emptyValue", "").csv(path)
 
 
 def read_metrics(spark: SparkSession, path: str) -> DataFrame:

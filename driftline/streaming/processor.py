@@ -2,7 +2,8 @@
 
 Rows of a series may come late or out of order within the watermark. They wait in state until the
 watermark has passed them and are then folded in time order, so the result does not depend on how
-the input is cut into micro-batches. Rows not later than the last folded time are dropped and counted.
+the input is cut into micro-batches. Rows not later than the last folded time are dropped and counted; rows of one
+time that wait together are all folded, in the order of y. A null y only predicts, and null components count as NaN, which does the same.
 """
 
 from __future__ import annotations
@@ -17,9 +18,9 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from driftline.operators import kernels
 
-OUT = "series_id long, k int, t double, x array<double>, p array<double>, nis double, x_smooth array<double>, dropped long"
-#: What a series keeps: estimate, its factor or covariance, last time, number of steps, dropped rows.
-STATE = "x array<double>, c array<double>, t double, k int, dropped long"
+OUT = "series_id long, k int, t double, x array<double>, p array<double>, nis double, x_smooth array<double>, dropped long, status int, gated long"
+#: What a series keeps: estimate, its factor or covariance, last time, number of steps, dropped rows, gated steps.
+STATE = "x array<double>, c array<double>, t double, k int, dropped long, gated long"
 STEP = "x array<double>, p array<double>, x_pred array<double>, p_pred array<double>, cross array<double>"
 
 
@@ -44,10 +45,10 @@ class SeriesProcessor(StatefulProcessor):
                 if last is not None and t <= last[2]:
                     late += 1
                 else:
-                    held.append((float(t), [float(v) for v in y], int(ms)))
+                    held.append((float(t), [] if y is None else [float("nan") if v is None else float(v) for v in y], int(ms)))
                     due = max(due, int(ms))
         if late:
-            self.state.update((*last[:4], last[4] + late))
+            self.state.update((*last[:4], last[4] + late, last[5]))
         if held:
             self.pending.appendList(held)
             self.handle.registerTimer(due + 1)
@@ -58,7 +59,7 @@ class SeriesProcessor(StatefulProcessor):
 
     def _release(self, key, watermark: int) -> Iterator[pd.DataFrame]:
         waiting = list(self.pending.get()) if self.pending.exists() else []
-        ready = sorted([r for r in waiting if r[2] <= watermark], key=lambda r: (r[0], list(r[1])))
+        ready = sorted([r for r in waiting if r[2] <= watermark], key=lambda r: (r[0], [np.inf if np.isnan(v) else v for v in r[1]]))
         if not ready:
             return
         rest = [tuple(r) for r in waiting if r[2] > watermark]
@@ -69,23 +70,26 @@ class SeriesProcessor(StatefulProcessor):
         n, f = self.filter.m.nx, self.filter
         name = "s" if isinstance(f, kernels.SquareRootUkf) else "p"
         if self.state.exists():
-            x, c, last, k, dropped = self.state.get()
+            x, c, last, k, dropped, gated = self.state.get()
             s = {"x": np.array(x)[None], name: np.array(c).reshape(1, n, n)}
         else:
-            s, last, k, dropped = f.start(self.x0[None].copy(), self.p0[None].copy()), None, 0, 0
+            s, last, k, dropped, gated = f.start(self.x0[None].copy(), self.p0[None].copy()), None, 0, 0, 0
         past = [[np.array(v) for v in h] for h in self.history.get()] if self.lag and self.history.exists() else []
-        out = []
+        out, folded = [], last
         for t, y, _ in ready:
-            if last is not None and t <= last and k:
+            if folded is not None and t <= folded and k:
                 dropped += 1
                 continue
             before, cross = s, np.zeros((1, n, n))
             pred = s
             if k:
                 pred, cross = f.predict(s, np.array([last]))
-            new, nis = f.update(pred, np.array(y)[None], np.array([t]))
+            new, nis, status = pred, [np.nan], 0
+            if len(y) and not np.isnan(y).any():
+                new, nis = f.update(pred, np.array(y)[None], np.array([t]))
+                gated += int(nis[0] > getattr(f, "gate", np.inf))
             if not (np.isfinite(new["x"]).all() and np.isfinite(f.cov(new)).all()):
-                new = pred = before
+                new, pred, status = before, before, 1
             s, last, k = new, t, k + 1
             smooth = None
             if self.lag:
@@ -93,8 +97,8 @@ class SeriesProcessor(StatefulProcessor):
                 if len(past) == self.lag + 1:
                     r = {a: np.stack([h[i].reshape((1, n) if i in (0, 2) else (1, n, n)) for h in past]) for i, a in enumerate(("x", "p", "x_pred", "p_pred", "cross"))}
                     smooth = kernels.fixed_lag(r, self.lag)[0][0, 0].tolist()
-            out.append((key[0], k - 1, t, s["x"][0].tolist(), f.cov(s)[0].ravel().tolist(), float(nis[0]), smooth, dropped))
-        self.state.update((s["x"][0].tolist(), s[name][0].ravel().tolist(), float(last), k, dropped))
+            out.append((key[0], k - 1, t, s["x"][0].tolist(), f.cov(s)[0].ravel().tolist(), None if np.isnan(nis[0]) else float(nis[0]), smooth, dropped, status, gated))
+        self.state.update((s["x"][0].tolist(), s[name][0].ravel().tolist(), float(last), k, dropped, gated))
         if self.lag:
             self.history.put([tuple(v.tolist() for v in h) for h in past])
         if out:
