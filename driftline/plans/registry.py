@@ -534,6 +534,38 @@ def ukf_series(spark, sf_dir):
     return series.filtered(walk_arrays(spark, sf_dir), lambda: kernels.Ukf(bent_model()), *BENT_PRIOR)
 
 
+OWN_EV = """ev AS (
+    SELECT user_id AS series_id, event_id, 0.0 AS t, value AS y, CASE WHEN event_type = 'purchase' THEN 1.0 ELSE 0.0 END AS u,
+           coalesce(c_acctbal / 100, 0.0) AS x0, CASE WHEN c_mktsegment = 'BUILDING' THEN 9.0 ELSE 1.0 END AS q,
+           CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, value) - 1 AS INTEGER) AS k
+    FROM events LEFT JOIN customer ON c_custkey = user_id
+    WHERE user_id IS NOT NULL AND ts IS NOT NULL
+)"""
+OWN_SQL = fold(
+    {"x": "x0", "p": 100.0},
+    [
+        {"xp": "CASE WHEN k = 0 THEN prev_x ELSE prev_x + u END", "pp": "CASE WHEN k = 0 THEN prev_p ELSE prev_p + q END"},
+        {"g": "pp / (pp + 25.0)", "innovation": "y - xp"},
+        {"x": "xp + g * innovation", "p": "(1 - g) * pp", "nis": "innovation * innovation / (pp + 25.0)"},
+    ],
+    ["x", "p", "nis"],
+)
+
+
+@query(f"WITH RECURSIVE {OWN_EV}, {OWN_SQL} SELECT series_id, k, {rounded(['x', 'p', 'nis'])} FROM f")
+def kf_by_series(spark, sf_dir):
+    """Each user's own prior (from the balance), own dynamics (from the segment), and a control: purchases push the state."""
+    from driftline.functions import catalog
+    from driftline.operators import kernels, series
+
+    events, customer = table(spark, sf_dir, "events"), table(spark, sf_dir, "customer")
+    rows = events.select(F.col("user_id").alias("series_id"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"), F.array("value").alias("y"), F.array(F.when(F.col("event_type") == "purchase", 1.0).otherwise(0.0)).alias("u"))
+    own = customer.select(F.col("c_custkey").alias("series_id"), F.array(F.coalesce(F.col("c_acctbal") / 100, F.lit(0.0))).alias("x0"), F.when(F.col("c_mktsegment") == "BUILDING", "fast").alias("model"))
+    walk = lambda q: lambda: kernels.Ekf(catalog.Linear(np.eye(1), np.eye(1), q * np.eye(1), 25.0 * np.eye(1)))
+    out = series.filtered(rows, {"slow": walk(1.0), "fast": walk(9.0)}, [0.0], [[100.0]], by_series=own, nu=1)
+    return out.select("series_id", "k", F.round(F.col("x")[0], 6).alias("x"), F.round(F.col("p")[0], 6).alias("p"), F.round("nis", 6).alias("nis"))
+
+
 @query()
 def ekf_iterated_smoother_series(spark, sf_dir):
     """Full-interval extended smoother with one more pass."""
