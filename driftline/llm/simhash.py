@@ -30,6 +30,9 @@ _OF_BYTE = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype
 ROW_COST = 60.0
 #: Keys of a shingle set, and least hashed shingles of a key: a pair of similarity 0.8 shares a key in all but 0.04 % of cases.
 KEYS, EACH = 20, 5
+#: Documents of so many shingles or more are not similar if their fingerprints differ in more bits than this; at similarity 0.8
+#: about 10 (standard deviation 3) of the 64 differ, of unlike documents 32 (4).
+BITS_FROM, MOST_APART = 20, 26
 _FLIP, _ODD = np.random.default_rng(11).integers(0, 1 << 63, (2, KEYS * EACH), dtype=np.uint64)
 _ODD |= np.uint64(1)
 
@@ -191,6 +194,11 @@ def _set_of(text: bytes, shingle: int) -> tuple[np.ndarray, int]:
     return some, int(_mix(some).sum(dtype=np.uint64).view(np.int64))
 
 
+def _prints_of(sets: list[np.ndarray]) -> np.ndarray:
+    """SimHash of each set of distinct shingle hashes, zero of an empty one."""
+    return np.array([majority(x) if len(x) else 0 for x in sets], np.uint64).view(np.int64)
+
+
 def _set_keys(some: np.ndarray, rows: int = 4096) -> bytes:
     least = np.full(len(_ODD), 2**64 - 1, np.uint64)
     for at in range(0, len(some), rows):
@@ -201,22 +209,24 @@ def _set_keys(some: np.ndarray, rows: int = 4096) -> bytes:
     return key.tobytes()
 
 
-def similar_documents(docs: DataFrame, least: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text", block: int = hamming.BLOCK, with_text_hash: bool = False) -> DataFrame:
+def similar_documents(docs: DataFrame, least: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text", block: int = hamming.BLOCK, with_text_hash: bool = False, most: int = 3) -> DataFrame:
     """doc_id and component_id (least id reachable over links) of every row with an id; with its text_hash if that is asked for.
 
-    Documents link whose sets of word shingles have a Jaccard similarity of at least ``least``, which is
-    computed exactly for those that share a key; equal sets, empty ones too, are one.
+    Documents link whose sets of word shingles have a Jaccard similarity of at least ``least``; equal sets, empty
+    ones too, are one. Candidates are the SimHash components of the sets (``most`` bits, by the generalised pigeonhole principle, as
+    in near_duplicates), and, since similar sets may be further apart than any bearable ``most``, those that share a key. Candidates
+    that are more than MOST_APART bits apart are dropped; of the others the similarity is computed exactly.
     """
 
     def first(batches):
         for b in common.pieces(batches):
             out = [_set_of(t, shingle) for t in common.texts_of(b.column(1))]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([h for _, h in out], pa.int64()), pa.array([_set_keys(x) if len(x) else b"" for x, _ in out], pa.binary()), b.column(2)], names=["doc_id", "node", "keys", "text_hash"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([h for _, h in out], pa.int64()), pa.array(_prints_of([x for x, _ in out])), pa.array([_set_keys(x) if len(x) else b"" for x, _ in out], pa.binary()), b.column(2)], names=["doc_id", "node", "fp", "keys", "text_hash"])
 
     texts = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).where("doc_id is not null")
     hashed = texts.withColumn("text_hash", F.coalesce(F.xxhash64("text"), F.xxhash64(F.lit(""))))
-    every = common.cut_lineage(hashed.mapInArrow(lambda b: common.trimmed(first(b)), "doc_id long, node long, keys binary, text_hash long"))
-    distinct = every.groupBy("node").agg(F.min("doc_id").alias("head"), F.first("keys").alias("keys"))
+    every = common.cut_lineage(hashed.mapInArrow(lambda b: common.trimmed(first(b)), "doc_id long, node long, fp long, keys binary, text_hash long"))
+    distinct = every.groupBy("node").agg(F.min("doc_id").alias("head"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
 
     def exploded(batches):
         for b in common.pieces(batches, 2048):
@@ -227,24 +237,29 @@ def similar_documents(docs: DataFrame, least: float = 0.8, shingle: int = 5, id_
     keyed = distinct.select("node", "keys").mapInArrow(exploded, "key long, node long")
     # keys that bring the same documents together are one
     sets = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum((F.xxhash64("node") % F.lit(1 << 40)).cast("decimal(38,0)")).alias("h")).where("n > 1").select("key", F.xxhash64("n", "h").alias("one"))
-    members = common.cut_lineage(keyed.join(sets, "key").select(F.col("one").alias("key"), "node").distinct())
+    near = distinct.select("node", "fp").join(linked_components(distinct.select(F.col("node").alias("doc_id"), "fp"), most, block=block).select("fp", "component"), "fp")
+    near = near.select(F.xxhash64("component", F.lit("bits")).alias("key"), "node")
+    near = near.join(near.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "key", "left_semi")
+    members = common.cut_lineage(keyed.join(sets, "key").select(F.col("one").alias("key"), "node").unionByName(near).distinct())
 
     def again(batches):
         for b in common.pieces(batches):
             out = [_set_of(t, shingle) for t in common.texts_of(b.column(1))]
-            yield pa.RecordBatch.from_arrays([pa.array([h for _, h in out], pa.int64()), pa.array([x.tobytes() for x, _ in out], pa.binary()), b.column(0)], names=["is", "shingles", "node"])
+            yield pa.RecordBatch.from_arrays([pa.array([h for _, h in out], pa.int64()), pa.array(_prints_of([x for x, _ in out])), pa.array([x.tobytes() for x, _ in out], pa.binary()), b.column(0)], names=["is", "fp", "shingles", "node"])
 
     wanted = distinct.select("node", "head").join(members.select("node").distinct(), "node", "left_semi").select("node", F.col("head").alias("doc_id"))
-    found = texts.join(wanted, "doc_id").select("node", "text").mapInArrow(lambda b: common.trimmed(again(b)), "is long, shingles binary, node long").where("is = node").select("node", "shingles").dropDuplicates(["node"])
+    found = texts.join(wanted, "doc_id").select("node", "text").mapInArrow(lambda b: common.trimmed(again(b)), "is long, fp long, shingles binary, node long").where("is = node").select("node", "fp", "shingles").dropDuplicates(["node"])
 
     def verified(batches):
-        for r, p, node, shingles in hamming.whole_runs(batches, 4, 5_000):
-            r, p, node = r.to_numpy(), p.to_numpy(), node.to_numpy()
+        for r, p, node, fp, shingles in hamming.whole_runs(batches, 5, 5_000):
+            r, p, node, fp = r.to_numpy(), p.to_numpy(), node.to_numpy(), fp.to_numpy().view(np.uint64)
             each = [np.frombuffer(x, np.uint64) for x in shingles.to_pylist()]
             size = np.array([len(x) for x in each])
 
-            def linked(i, j, each=each, size=size):
-                ok = np.minimum(size[i], size[j]) >= least * np.maximum(size[i], size[j]) - 1e-9
+            def linked(i, j, each=each, size=size, fp=fp):
+                fewer = np.minimum(size[i], size[j])
+                ok = fewer >= least * np.maximum(size[i], size[j]) - 1e-9
+                ok &= (fewer < BITS_FROM) | (hamming.popcount(fp[i] ^ fp[j]) <= MOST_APART)
                 for k in np.flatnonzero(ok).tolist():
                     both = len(np.intersect1d(each[i[k]], each[j[k]], assume_unique=True))
                     ok[k] = both >= least * (size[i[k]] + size[j[k]] - both) - 1e-9
@@ -253,7 +268,7 @@ def similar_documents(docs: DataFrame, least: float = 0.8, shingle: int = 5, id_
             a, b = hamming.forest_of_runs(r, p, node, linked)
             yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], names=["u", "v"])
 
-    pairs = hamming.blocked(members.withColumn("fp", F.lit(0).cast("long")).join(found, "node").select("key", "fp", "node", "shingles"), block).select("run", "part", "node", "shingles")
+    pairs = hamming.blocked(members.join(found, "node").select("key", "fp", "node", "shingles"), block).select("run", "part", "node", "fp", "shingles")
     of = components(pairs.repartition("run").sortWithinPartitions("run").mapInArrow(lambda b: common.trimmed(verified(b)), "u long, v long"))
     joined = distinct.select("node", "head").join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
     heads = joined.groupBy("component").agg(F.min("head").alias("component_id"))
