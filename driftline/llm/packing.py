@@ -37,7 +37,7 @@ def tokens(docs: DataFrame, path: str, id_col: str, text_col: str, source_col: s
     """doc_id, source, n, ids (little-endian 16-bit, or 32-bit where an id needs it) of every document."""
 
     def run(batches):
-        c = bpe.codec(path)
+        c = bpe.codec(path, bpe.LibraryCodec)
         wide = len(c.names) > 1 << 16
         for b in common.pieces(batches, 256):
             texts = bpe.strings_of(b.column(1))
@@ -143,7 +143,7 @@ def pack(docs: DataFrame, targets: dict[str, float] | None = None, path: str | N
     Without ``targets`` each source's share of all tokens is its target.
     """
     path = path or common.tokenizer_path()
-    width = "<u4" if len(bpe.codec(path).names) > 1 << 16 else "<u2"
+    width = "<u4" if len(bpe.codec(path, bpe.LibraryCodec).names) > 1 << 16 else "<u2"
     tok = tokens(docs, path, id_col, text_col, source_col)
     tok = common.cut_lineage(tok.withColumn("spread", F.xxhash64("doc_id", "n", F.monotonically_increasing_id())))
     whole = tok.agg(F.sum("n")).first()[0] or 0
