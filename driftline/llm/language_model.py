@@ -92,7 +92,7 @@ class Symbols:
 
     def __init__(self, path: str):
         if path not in _codecs:
-            _codecs[path] = bpe.Codec(path)  # its kept chunks are this class's words
+            _codecs[path] = bpe.LibraryCodec(path)  # its kept chunks are this class's words
         self.codec = _codecs[path]
         self.size = len(self.codec.names)
 
@@ -104,7 +104,7 @@ class Symbols:
         number, begins, get = [], [0], c.chunk_cache.get
         for t in texts:
             # the words' own boundaries: the codec's white space is wider, so each word is a chunk
-            words = t.lower().decode().translate(_SPACES).split(" ") if t else []
+            words = b" ".join(t.lower().split()).decode().split(" ")
             for w in words:
                 if w:
                     n = get(w)
@@ -123,7 +123,11 @@ class Symbols:
     def _word(self, w: str) -> int:
         c = self.codec
         first = len(c.flat)
-        c.flat.extend([i for part in c._chunks(w) for piece in bpe.SPLIT.findall(part) for i in c._word(piece)])
+        if w.isascii():
+            for piece in (w,) if w.isalpha() else bpe.SPLIT.findall(w):
+                c.flat.extend(c._word(piece))
+        else:
+            c.flat.extend([i for part in c._chunks(w) for piece in bpe.SPLIT.findall(part) for i in c._word(piece)])
         if len(c.flat) == first:  # a word of characters that the vocabulary drops
             c.flat.append(0)
         number = c.chunk_cache[w] = len(c.offsets) - 1
@@ -131,9 +135,6 @@ class Symbols:
         return number
 
 
-_SPACES = {i: " " for i in (*range(9, 14),)}
-
-
 class _Numbers(dict):
     """Numbers of words in the order of their first appearance."""
 
@@ -262,6 +263,21 @@ def _met(batches):
         yield _rows(out)
 
 
+def _ones(n: int) -> np.ndarray:
+    return np.ones(n, np.float32)
+
+
+def _by_class(of: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Sums of the rows of each class; those of no class are left out."""
+    out = np.zeros((CLASSES + 2, rows.shape[1]), rows.dtype)
+    small = of.astype(np.uint8)
+    size = np.bincount(small, minlength=CLASSES + 2)
+    some = np.flatnonzero(size)
+    if len(some):
+        out[some] = np.add.reduceat(rows[np.argsort(small, kind="stable")], np.cumsum(size)[some] - size[some])
+    return out[:-1]
+
+
 class Attention:
     """One layer of causal self-attention over symbol classes, with a hidden layer, added to pair log frequencies."""
 
@@ -300,83 +316,103 @@ class Attention:
         before[first[:-1]] = -1
         return np.concatenate([before, x], 1), y, fine, of
 
-    def forward(self, x: np.ndarray, fine: np.ndarray, keep: bool = False):
+    def _lookups(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Attention scores of class pairs, values and hidden inputs of classes, a row (and column) more where there is no symbol.
+
+        What depends on classes alone is computed once for each class. Scores are shifted to be 0 at most.
+        """
         p = self.p
-        cur = np.maximum(x[:, STRIDE:], 0)
-        ctx_ids = np.maximum(x, 0)
-        tq, tk, tv = p["e"] @ p["q"], p["e"] @ p["k"], p["e"] @ p["v"]
-        q, k, v = tq[cur], tk[ctx_ids], tv[ctx_ids]
-        s = q @ k.transpose(0, 2, 1)
-        s *= np.float32(WIDTH**-0.5)
-        s += p["rel"][self.back] + self.future
-        s += np.where(x < 0, np.float32(-1e9), np.float32(0))[:, None, :]
-        s -= s.max(2, keepdims=True)
+        e, n = p["e"], CLASSES + 1
+        score = np.zeros((n + 1, n + 1), np.float32)
+        score[:n, :n] = (e @ p["q"]) @ (e @ p["k"]).T * np.float32(WIDTH**-0.5)
+        score[:n, :n] -= score[:n, :n].max(1, keepdims=True)
+        score[:n, n] = -1e9
+        value, hidden = np.zeros((n + 1, WIDTH), np.float32), np.zeros((n + 1, HIDDEN), np.float32)
+        value[:n], hidden[:n] = e @ p["v"], e @ p["w1"][:WIDTH] + p["b1"]
+        return score, value, hidden
+
+    def forward(self, x: np.ndarray, fine: np.ndarray, keep: bool = False, tables=None):
+        p = self.p
+        score, value, hidden = tables or self._lookups()
+        n = CLASSES + 1
+        ids = np.where(x < 0, n, x)
+        cur = ids[:, STRIDE:]
+        pair = (cur * (n + 1))[:, :, None] + ids[:, None, :]
+        s = score.ravel().take(pair)
+        s += (p["rel"] - p["rel"].max())[self.back] + self.future
+        if score.diagonal().min() + p["rel"][0] - p["rel"].max() < -60:  # else exp leaves each symbol's weight of itself
+            s -= s.max(2, keepdims=True)
         np.exp(s, out=s)
-        s /= s.sum(2, keepdims=True)
-        c = s @ v
-        both = np.concatenate([p["e"][cur], c], 2).reshape(-1, 2 * WIDTH)
-        z = both @ p["w1"] + p["b1"]
+        s /= (s @ _ones(2 * STRIDE))[:, :, None]
+        v = value.take(ids, axis=0)
+        c = (s @ v).reshape(-1, WIDTH)
+        z = c @ p["w1"][WIDTH:]
+        z += hidden.take(cur.ravel(), axis=0)
         np.maximum(z, 0, out=z)
         logits = z @ p["w2"]
-        logits += self.pairs[fine.ravel()]
-        logits -= logits.max(1, keepdims=True)
-        return (logits, (cur, ctx_ids, q, k, v, s, both, z)) if keep else logits
+        logits += self.pairs.take(fine.ravel(), axis=0)
+        if len(z) and not (logits.max() < 60 and logits[:, 0].min() > -57):  # else exp neither overflows nor loses a row
+            logits -= logits.max(1, keepdims=True)
+        return (logits, (ids, cur, pair, v, s, c, z)) if keep else logits
 
     def log_probs(self, x: np.ndarray, y: np.ndarray, fine: np.ndarray) -> np.ndarray:
         """Natural log probability of each block's targets, in the shape of y, 0 where there is none."""
         out = np.zeros(y.shape)
-        step = 128  # blocks whose logits stay in cache
+        step = 64  # blocks whose logits stay in cache
+        tables = self._lookups()
         for at in range(0, len(x), step):
-            logits = self.forward(x[at : at + step], fine[at : at + step])
+            logits = self.forward(x[at : at + step], fine[at : at + step], tables=tables)
             target = np.maximum(y[at : at + step].ravel(), 0)
             chosen = logits[np.arange(len(logits)), target].astype(np.float64)
             np.exp(logits, out=logits)
-            out[at : at + step] = (chosen - np.log(logits.sum(1, dtype=np.float64))).reshape(-1, STRIDE)
+            out[at : at + step] = (chosen - np.log((logits @ _ones(CLASSES)).astype(np.float64))).reshape(-1, STRIDE)
         return np.where(y >= 0, out, 0.0)
 
     def gradients(self, x: np.ndarray, y: np.ndarray, fine: np.ndarray) -> dict[str, np.ndarray]:
-        p = self.p
-        logits, (cur, ids, q, k, v, a, both, z) = self.forward(x, fine, keep=True)
-        prob = np.exp(logits)
-        prob /= prob.sum(1, keepdims=True)
+        p, n = self.p, CLASSES + 1
+        d, (ids, cur, pair, v, a, c, z) = self.forward(x, fine, keep=True)
         on = (y.ravel() >= 0).astype(np.float32)
-        prob[np.arange(len(prob)), np.maximum(y.ravel(), 0)] -= 1
-        d = prob * (on / max(1.0, float(on.sum())))[:, None]
+        on /= max(1.0, float(on.sum()))
+        np.exp(d, out=d)
+        d *= (on / (d @ _ones(CLASSES)))[:, None]
+        d[np.arange(len(d)), np.maximum(y.ravel(), 0)] -= on
         g = {"w2": z.T @ d}
-        dz = (d @ p["w2"].T) * (z > 0)
-        g["w1"], g["b1"] = both.T @ dz, dz.sum(0)
-        dboth = (dz @ p["w1"].T).reshape(len(x), STRIDE, 2 * WIDTH)
-        dc = dboth[:, :, WIDTH:]
-        da = dc @ v.transpose(0, 2, 1)
-        ds = a * (da - (da * a).sum(2, keepdims=True))
+        dz = d @ p["w2"].T
+        dz *= z > 0
+        dc = (dz @ p["w1"][WIDTH:].T).reshape(len(x), STRIDE, WIDTH)
+        ds = dc @ v.transpose(0, 2, 1)
+        ds *= a
+        ds -= a * (ds @ _ones(2 * STRIDE))[:, :, None]
         g["rel"] = np.bincount(self.back.ravel(), ds.sum(0).ravel(), minlength=2 * STRIDE).astype(np.float32)
-        ds = ds * np.float32(WIDTH**-0.5)
-        dq, dk, dv = ds @ k, ds.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ dc
-        de = np.zeros_like(p["e"])
-        np.add.at(de, cur.ravel(), dboth[:, :, :WIDTH].reshape(-1, WIDTH))
-        for name, grad, index in (("q", dq, cur), ("k", dk, ids), ("v", dv, ids)):
-            table = np.zeros_like(p["e"])
-            np.add.at(table, index.ravel(), grad.reshape(-1, WIDTH))
-            g[name] = p["e"].T @ table
-            de += table @ p[name].T
-        g["e"] = de
+        dscore = np.bincount(pair.ravel(), ds.ravel(), minlength=(n + 1) ** 2).reshape(n + 1, n + 1)[:n, :n].astype(np.float32)
+        dscore *= np.float32(WIDTH**-0.5)
+        e = p["e"]
+        of = {"q": dscore @ (e @ p["k"]), "k": dscore.T @ (e @ p["q"]), "v": _by_class(ids.ravel(), (a.transpose(0, 2, 1) @ dc).reshape(-1, WIDTH))}
+        dhidden = _by_class(cur.ravel(), dz)
+        g["b1"] = dhidden.sum(0)
+        g["w1"] = np.concatenate([e.T @ dhidden, c.T @ dz])
+        g["e"] = dhidden @ p["w1"][:WIDTH].T
+        for name, table in of.items():
+            g[name] = e.T @ table
+            g["e"] += table @ p[name].T
         return g
 
     def train(self, x: np.ndarray, y: np.ndarray, fine: np.ndarray, rounds: int, rate: float, batch: int = 128) -> None:
         """Adam steps over shuffled blocks."""
         rng = np.random.default_rng(4)
-        m = {n: np.zeros_like(v) for n, v in self.p.items()}
-        u = {n: np.zeros_like(v) for n, v in self.p.items()}
+        now = self.vector()
+        m, u = np.zeros_like(now), np.zeros_like(now)
         step = 0
         for _ in range(rounds):
             order = rng.permutation(len(x))
             for at in range(0, len(x), batch):
                 some = order[at : at + batch]
                 g, step = self.gradients(x[some], y[some], fine[some]), step + 1
-                for n in self.NAMES:
-                    m[n] = 0.9 * m[n] + 0.1 * g[n]
-                    u[n] = 0.999 * u[n] + 0.001 * g[n] ** 2
-                    self.p[n] = (self.p[n] - rate * (m[n] / (1 - 0.9**step)) / (np.sqrt(u[n] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
+                g = np.concatenate([g[n].ravel() for n in self.NAMES])
+                m += np.float32(0.1) * (g - m)
+                u += np.float32(0.001) * (g * g - u)
+                now -= np.float32(rate / (1 - 0.9**step)) * m / (np.sqrt(u * np.float32(1 / (1 - 0.999**step))) + np.float32(1e-8))
+                self.load(now)
 
     def vector(self) -> np.ndarray:
         return np.concatenate([self.p[n].ravel() for n in self.NAMES])
