@@ -53,7 +53,6 @@ class Codec:
     """Encoder and decoder of one vocabulary file."""
 
     def __init__(self, path: str):
-        import ahocorasick
         from tokenizers import Regex, normalizers, pre_tokenizers
 
         with open(path, encoding="utf-8") as f:
@@ -61,11 +60,27 @@ class Codec:
         vocab = spec["model"]["vocab"]
         self.specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.symbols = byte_symbols()
+        # decoding table: all tokens' bytes and where each begins
+        size = max([*vocab.values(), *self.specials.values()]) + 1
+        names = [""] * size
+        for t, i in [*vocab.items(), *self.specials.items()]:
+            names[i] = t
+        self.names = pa.array([n + " " for n in names], pa.large_string())
+        self.split = pre_tokenizers.Split(Regex(SPLIT.pattern), "removed", invert=True)
+        self.compose, self.lower = normalizers.NFC(), normalizers.Lowercase()
+        self.word_cache: dict[str, tuple[int, ...]] = {}
+        self._load_merges(path, spec["model"])
+        self._reset()
+
+    def _load_merges(self, path: str, model: dict) -> None:
+        """What merging needs."""
+        import ahocorasick
+
         self.rank: dict[tuple[str, str], int] = {}
-        for k, pair in enumerate(spec["model"]["merges"]):
+        for k, pair in enumerate(model["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             self.rank[self._marked(a), self._marked(b)] = k
-        self.id_of = {self._marked(t): i for t, i in vocab.items() if t not in self.specials}
+        self.id_of = {self._marked(t): i for t, i in model["vocab"].items() if t not in self.specials}
         self.made = {a + b: (a, b, k) for (a, b), k in self.rank.items()}
         # an entry that no merge makes and that is no single symbol is never the result of merging
         self.id_of = {t: i for t, i in self.id_of.items() if len(t) == 1 or t in self.made}
@@ -78,16 +93,6 @@ class Codec:
             self.longest.add_word(t, t)
         self.longest.make_automaton()
         self.compatible: dict[tuple[str, str], bool] = {}
-        # decoding table: all tokens' bytes and where each begins
-        size = max([*vocab.values(), *self.specials.values()]) + 1
-        names = [""] * size
-        for t, i in [*vocab.items(), *self.specials.items()]:
-            names[i] = t
-        self.names = pa.array([n + " " for n in names], pa.large_string())
-        self.split = pre_tokenizers.Split(Regex(SPLIT.pattern), "removed", invert=True)
-        self.compose, self.lower = normalizers.NFC(), normalizers.Lowercase()
-        self.word_cache: dict[str, tuple[int, ...]] = {}
-        self._reset()
 
     def _reset(self) -> None:
         self.chunk_cache: dict[str, int] = {}
@@ -302,10 +307,9 @@ class Codec:
 class LibraryCodec(Codec):
     """A codec whose words are merged by the tokenizers library, for operators to which ids are only an input; the same ids in less time."""
 
-    def __init__(self, path: str):
+    def _load_merges(self, path: str, model: dict) -> None:
         from tokenizers import Tokenizer
 
-        super().__init__(path)
         self.merged = Tokenizer.from_file(path).model.tokenize
 
     def _word(self, piece: str) -> tuple[int, ...]:

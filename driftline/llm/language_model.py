@@ -25,8 +25,12 @@ bucket, counts meet there, and answers go back to the flush, where base and mode
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -58,6 +62,9 @@ _KIND = "key long, kind int, flush long, a binary, b binary, c binary"
 _TYPES = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
 _NAMES = [x.split()[0] for x in _KIND.split(", ")]
 _END_WORD = b" end"
+#: A word's pieces, and the space between words.
+_PIECES = regex.compile(bpe.SPLIT.pattern + "| ")
+_SPACES = (b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r")
 #: What a document is to the training.
 TRAINS, HELD, NO_ID = 0, 1, 2
 
@@ -105,6 +112,7 @@ class Symbols:
         for t in texts:
             # the words' own boundaries: the codec's white space is wider, so each word is a chunk
             words = b" ".join(t.lower().split()).decode().split(" ")
+            self._plain_words([w for w in dict.fromkeys(words) if w.isascii() and w.isprintable() and w not in c.chunk_cache and w])
             for w in words:
                 if w:
                     n = get(w)
@@ -120,14 +128,24 @@ class Symbols:
         out[ends[1:][size > 0] - 1] += self.size
         return out, ends[np.array(begins)]
 
+    def _plain_words(self, words: list[str]) -> None:
+        """Keeps the symbols of words of printable ASCII, all at once; each of them has a piece."""
+        if not words:
+            return
+        c = self.codec
+        get, word = c.word_cache.get, c._word
+        ids = [() if p == " " else get(p) or word(p) for p in _PIECES.findall(" ".join(words))]
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        between = np.flatnonzero(size == 0)
+        upto = np.append(np.cumsum(size)[between], size.sum()) + len(c.flat)
+        c.chunk_cache.update(zip(words, range(len(c.offsets) - 1, len(c.offsets) - 1 + len(words)), strict=True))
+        c.flat.extend(chain.from_iterable(ids))
+        c.offsets.extend(upto.tolist())
+
     def _word(self, w: str) -> int:
         c = self.codec
         first = len(c.flat)
-        if w.isascii():
-            for piece in (w,) if w.isalpha() else bpe.SPLIT.findall(w):
-                c.flat.extend(c._word(piece))
-        else:
-            c.flat.extend([i for part in c._chunks(w) for piece in bpe.SPLIT.findall(part) for i in c._word(piece)])
+        c.flat.extend([i for part in c._chunks(w) for piece in bpe.SPLIT.findall(part) for i in c._word(piece)])
         if len(c.flat) == first:  # a word of characters that the vocabulary drops
             c.flat.append(0)
         number = c.chunk_cache[w] = len(c.offsets) - 1
@@ -135,14 +153,6 @@ class Symbols:
         return number
 
 
-class _Numbers(dict):
-    """Numbers of words in the order of their first appearance."""
-
-    def __missing__(self, word: bytes) -> int:
-        n = self[word] = len(self)
-        return n
-
-
 class _Gathered:
     """Documents gathered until they have enough words, and the rows they become."""
 
@@ -154,23 +164,34 @@ class _Gathered:
         self._clear()
 
     def _clear(self) -> None:
-        self.numbers, self.docs, self.states, self.words, self.tokens = _Numbers(), [], [], [], 0
-        self.numbers[_END_WORD] = 0
+        self.docs, self.states, self.texts, self.tokens = [], [], [], 0
 
     def add(self, doc: int | None, held: bool | None, text: bytes) -> None:
-        words = text.lower().split()
-        words.append(_END_WORD)
         self.docs.append(0 if doc is None else doc)
         self.states.append(NO_ID if held is None else HELD if held else TRAINS)
-        self.words.append(np.fromiter(map(self.numbers.__getitem__, words), np.int32, len(words)))
-        self.tokens += len(words)
+        self.texts.append(text.lower())
+        self.tokens += sum(map(text.count, _SPACES)) + 2  # the words and the end, at most
+
+    def _numbered(self) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        """Each document's number of words with its end, their numbers in the order of first appearance after the end's, and the distinct words."""
+        split = pc.ascii_split_whitespace(pa.array(self.texts, pa.binary()).cast(pa.large_string()))
+        kept = pc.greater(pc.binary_length(split.values), 0)  # white space before and after the words leaves empty ones
+        words = split.values.filter(kept).dictionary_encode()
+        before = np.concatenate([[0], np.cumsum(kept.to_numpy(zero_copy_only=False))])
+        ends = before[split.offsets.to_numpy()]
+        size = np.diff(ends) + 1
+        word = np.zeros(ends[-1] + len(size), np.int32)
+        inner = np.ones(len(word), bool)
+        inner[np.cumsum(size) - 1] = False
+        word[inner] = words.indices.to_numpy() + 1
+        return size.astype(np.int32), word, [_END_WORD, *words.dictionary.cast(pa.large_binary()).to_pylist()]
 
     def rows(self):
         """The flush's table, and its distinct words' hashes and training counts by bucket."""
         if not self.docs:
             return
-        size = np.array([len(w) for w in self.words], np.int32)
-        word, state, distinct = np.concatenate(self.words), np.array(self.states, np.int8), list(self.numbers)
+        size, word, distinct = self._numbered()
+        state = np.array(self.states, np.int8)
         # numbers by falling frequency are small; the end stays the first
         often = np.bincount(word, minlength=len(distinct))
         often[0] = len(word) + 1
@@ -376,7 +397,7 @@ class Attention:
         np.exp(d, out=d)
         d *= (on / (d @ _ones(CLASSES)))[:, None]
         d[np.arange(len(d)), np.maximum(y.ravel(), 0)] -= on
-        g = {"w2": z.T @ d}
+        g = {"w2": (d.T @ z).T}
         dz = d @ p["w2"].T
         dz *= z > 0
         dc = (dz @ p["w1"][WIDTH:].T).reshape(len(x), STRIDE, WIDTH)
@@ -455,7 +476,7 @@ def scores(docs: DataFrame, fold: int = 10, held: int = 0, path: str | None = No
     Without training rows counts are zero and classes are even.
     """
     path = path or common.tokenizer_path()
-    size = len(bpe.codec(path).names)
+    size = len(bpe.codec(path, bpe.LibraryCodec).names)
     rows = common.cut_lineage(gathered(docs, fold, held, path, id_col, text_col, flush))
     tables = rows.where(F.col("kind") == TABLE).select("a", "b", "c")
 
