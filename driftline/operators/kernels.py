@@ -312,6 +312,10 @@ def iterated(make, x0, p0, t, y, rounds: int, first="update", live=None, u=None)
 
 # --- particles ----------------------------------------------------------------------------------
 
+#: Particles of all series that are filtered together, at most (or one series).
+AT_ONCE = 1 << 16
+
+
 def log_normalize(lw):
     ok = np.isfinite(lw)
     top = np.where(ok, lw, -np.inf).max(-1, keepdims=True)
@@ -326,9 +330,10 @@ def effective_size(lw):
 
 
 def resample(w, rng, scheme):
-    """Parents by systematic or stratified points on the cumulative weights, of each row."""
+    """Parents by systematic or stratified points on the cumulative weights, of each row; ``rng`` may be a list, one for each row."""
     n = w.shape[-1]
-    u = rng.random((len(w), 1 if scheme == "systematic" else n))
+    wide = 1 if scheme == "systematic" else n
+    u = np.stack([g.random(wide) for g in rng]) if isinstance(rng, list) else rng.random((len(w), wide))
     points = (np.arange(n) + u) / n
     cdf = np.cumsum(w, -1)
     return np.stack([np.minimum(np.searchsorted(c, p, "left"), n - 1) for c, p in zip(cdf, points, strict=True)])
@@ -339,34 +344,79 @@ def generator(seed: int, series: int, step: int):
     return np.random.Generator(np.random.Philox(key=[seed & (2**64 - 1), series & (2**64 - 1)], counter=[0, 0, 0, step]))
 
 
+class _Steps:
+    """The generators of one series' steps, one object set anew for each, which takes a fraction of making one."""
+
+    def __init__(self, seed: int, series: int):
+        self.rng = generator(seed, series, 0)
+        self.state = self.rng.bit_generator.state
+
+    def at(self, step: int):
+        self.state["state"]["counter"][3] = step
+        self.rng.bit_generator.state = self.state
+        return self.rng
+
+
 def particle_filter(model, prior, series: int, t, y, particles=1000, threshold=0.5, scheme="stratified", seed=0, lag=0):
     """Bootstrap filter of one series; filtered mean and covariance, smoothed mean ``lag`` steps back, and ess, by step.
 
     Estimates are read after resampling. The smoothed mean follows each particle's parents.
     """
-    rng = generator(seed, series, 0)
-    x = prior(rng, particles)
-    lw = np.full(particles, -np.log(particles))
-    layers, maps, out = [x], [], []
-    for k in range(len(t)):
-        rng = generator(seed, series, k + 1)
-        x = model.propagate(x, t[k], None, rng)
-        if not np.isnan(y[k]).any():
-            lw = log_normalize(lw + model.loglik(y[k], x, t[k]))
-        size = effective_size(lw)
-        parent = np.arange(particles)
-        if size < threshold * particles:
-            parent = resample(np.exp(lw)[None], rng, scheme)[0]
-            x, lw = x[parent], np.full(particles, -np.log(particles))
+    return particle_filters(model, prior, [series], [t], [y], particles, threshold, scheme, seed, lag)[0]
+
+
+def particle_filters(model, prior, series, t, y, particles=1000, threshold=0.5, scheme="stratified", seed=0, lag=0):
+    """particle_filter of many series, each step for all of them that have it; a list of each one's results.
+
+    Random numbers are each series' own. A model with ``batched`` set takes readings (series, 1, ny), times (series, 1) and
+    particles (series, particles, n) at once in ``loglik``.
+    """
+    if (some := max(1, AT_ONCE // particles)) < len(series):
+        parts = [slice(k, k + some) for k in range(0, len(series), some)]
+        return [r for k in parts for r in particle_filters(model, prior, series[k], t[k], y[k], particles, threshold, scheme, seed, lag)]
+    size = np.array([len(x) for x in t])
+    order = np.argsort(-size, kind="stable")
+    steps = [_Steps(seed, series[i]) for i in order]
+    x = np.stack([prior(s.at(0), particles) for s in steps])
+    lw = np.full((len(x), particles), -np.log(particles))
+    out = [[] for _ in series]
+    layers, maps, every = [x], [], np.arange(particles)
+    for k in range(int(size.max(initial=0))):
+        n = int((size > k).sum())
+        x, lw = x[:n], lw[:n]
+        layers, maps = [v[:n] for v in layers], [m[:n] for m in maps]
+        at = order[:n].tolist()
+        rngs = [s.at(k + 1) for s in steps[:n]]
+        now, seen = np.array([t[i][k] for i in at]), np.stack([y[i][k] for i in at])
+        x = np.stack([model.propagate(a, b, None, rng) for a, b, rng in zip(x, now, rngs, strict=True)])
+        has = np.flatnonzero(~np.isnan(seen).any(-1))
+        if len(has):
+            if getattr(model, "batched", False):
+                ll = model.loglik(seen[has, None], x[has], now[has, None])
+            else:
+                ll = np.stack([model.loglik(seen[i], x[i], now[i]) for i in has])
+            lw = lw.copy()
+            lw[has] = log_normalize(lw[has] + ll)
+        ess = effective_size(lw)
+        parent = np.repeat(every[None], n, 0)
+        few = np.flatnonzero(ess < threshold * particles)
+        if len(few):
+            w = np.exp(lw[few])
+            parent[few] = resample(w, [rngs[i] for i in few.tolist()], scheme)
+            x[few] = np.take_along_axis(x[few], parent[few][..., None], 1)
+            lw[few] = -np.log(particles)
         layers, maps = [*layers, x][-(lag + 1) :], [*maps, parent][-lag:] if lag else []
         w = np.exp(lw)
-        mean = w @ x
-        d = x - mean
-        path = np.arange(particles)
+        mean = (w[:, None] @ x)[:, 0]
+        d = x - mean[:, None]
+        path = np.repeat(every[None], n, 0)
         for m in reversed(maps[-(len(layers) - 1) :] if len(layers) > 1 else []):
-            path = m[path]
-        out.append((mean, (w[:, None] * d).T @ d, w @ layers[0][path], size))
-    return [np.array(v) for v in zip(*out, strict=True)]
+            path = np.take_along_axis(m, path, 1)
+        cov = np.swapaxes(w[..., None] * d, -1, -2) @ d
+        smooth = (w[:, None] @ np.take_along_axis(layers[0], path[..., None], 1))[:, 0]
+        for j, i in enumerate(at):
+            out[i].append((mean[j], cov[j], smooth[j], ess[j]))
+    return [[np.array(v) for v in zip(*rows, strict=True)] for rows in out]
 
 
 def rao_blackwell(model, z0, x0, p0, series: int, t, y, particles=100, threshold=0.5, scheme="systematic", seed=123456789, lag=0):

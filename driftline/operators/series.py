@@ -193,20 +193,21 @@ def filtered(
 PARTICLE_OUT = "series_id long, k int, t double, x array<double>, x_smooth array<double>, ess double"
 
 
-def particle_filtered(measurements: DataFrame, run_one: Callable, ny: int, lag: int = 0) -> DataFrame:
+def particle_filtered(measurements: DataFrame, run_one: Callable, ny: int, lag: int = 0, together: bool = False) -> DataFrame:
     """Particle filters, one series at a time: ``run_one(series_id, t, y)`` gives means, lagged means and ess by step.
 
-    ``x_smooth`` of a row is the estimate of the step ``lag`` rows before it, null in the first rows.
+    With ``together`` it takes lists of many series' ids, times and readings, and gives a list. ``x_smooth`` of a row is the
+    estimate of the step ``lag`` rows before it, null in the first rows.
     """
 
     def run(batches):
         for series in whole_series(batches, ny):
-            for s in series:
-                ids, t, y, _ = padded([s], ny)
-                mean, smooth, size = run_one(int(ids[0]), t[0], y[0])
-                n = len(mean)
-                smoothed = [v if k >= lag else None for k, v in enumerate(smooth)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, ids[0])), pa.array(np.arange(n, dtype=np.int32)), pa.array(t[0]), _lists(mean), pa.array(smoothed, pa.list_(pa.float64())), pa.array(np.broadcast_to(size, n).copy())], names=["series_id", "k", "t", "x", "x_smooth", "ess"])
+            columns = [[s.id for s in series], [s.t for s in series], [s.y for s in series]]
+            found = run_one(*columns) if together else map(run_one, *columns)
+            mean, smooth, size = (np.concatenate(v) for v in zip(*[(m, x, np.broadcast_to(e, len(m))) for m, x, e in found], strict=True))
+            n = [len(s.t) for s in series]
+            k = np.concatenate([np.arange(c) for c in n])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(columns[0], n)), pa.array(k.astype(np.int32)), pa.array(np.concatenate(columns[1])), _lists(mean), _lists(smooth, k >= lag), pa.array(size)], names=["series_id", "k", "t", "x", "x_smooth", "ess"])
 
     rows = measurements.select(F.col("series_id").cast("long"), F.col("t").cast("double"), F.col("y").cast("array<double>")).where("series_id is not null and t is not null")
     return rows.repartition("series_id").sortWithinPartitions("series_id", "t", "y").mapInArrow(run, PARTICLE_OUT)

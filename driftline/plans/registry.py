@@ -588,17 +588,19 @@ def particle_smoothed_series(spark, sf_dir):
     from driftline.operators import kernels, series
 
     class Walk:
+        batched = True
+
         def propagate(self, x, t, u, rng):
             return x + 3.0 * rng.normal(size=x.shape)
 
         def loglik(self, y, x, t):
-            return -2.0 * np.log1p((y[0] - x[..., 0]) ** 2 / (3.0 * 625.0))
+            return -2.0 * np.log1p((y[..., 0] - x[..., 0]) ** 2 / (3.0 * 625.0))
 
-    def one(s, t, y):
-        mean, _, smooth, size = kernels.particle_filter(Walk(), lambda g, n: 100.0 + 100.0 * g.normal(size=(n, 1)), s, t, y, 200, lag=5, seed=11)
-        return mean, smooth, size
+    def many(s, t, y):
+        found = kernels.particle_filters(Walk(), lambda g, n: 100.0 + 100.0 * g.normal(size=(n, 1)), s, t, y, 200, lag=5, seed=11)
+        return [(mean, smooth, size) for mean, _, smooth, size in found]
 
-    return series.particle_filtered(walk_arrays(spark, sf_dir), one, 1, 5)
+    return series.particle_filtered(walk_arrays(spark, sf_dir), many, 1, 5, together=True)
 
 
 @query()
