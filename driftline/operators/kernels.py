@@ -48,10 +48,13 @@ def factor(p, jitter=(0.0, 1e-6)):
 
 
 def gain(pht, s):
-    """P H' S^-1, by solving; pseudo-inverse where S is singular."""
+    """P H' S^-1, by solving; pseudo-inverse where S is singular. One singular matrix costs the others nothing."""
     try:
         return np.swapaxes(np.linalg.solve(s, np.swapaxes(pht, -1, -2)), -1, -2)
     except np.linalg.LinAlgError:
+        if s.ndim > 2:
+            s = np.broadcast_to(s, (*pht.shape[:-2], *s.shape[-2:]))
+            return np.stack([gain(a, b) for a, b in zip(pht, s, strict=True)])
         return pht @ np.linalg.pinv(s)
 
 
@@ -272,13 +275,15 @@ def run(filter_, x0, p0, t, y, first: str = "update", live=None, u=None):
     return out
 
 
-def rts(r, stop=None):
-    """Smoothed x and p of all stored steps (k, b, ...), from the newest backwards."""
+def rts(r, live=None):
+    """Smoothed x and p of all stored steps (k, b, ...), from the newest backwards; steps that ``live`` (b, k) leaves out smooth none."""
     xs, ps = r["x"].copy(), r["p"].copy()
     steps = len(xs)
     for k in range(steps - 2, -1, -1):
         g = gain(r["cross"][k + 1], r["p_pred"][k + 1])
         ok = (r["status"][k + 1] == 0) & np.isfinite(g).all((-1, -2))
+        if live is not None:
+            ok &= live[:, k + 1]
         x = r["x"][k] + (g @ (xs[k + 1] - r["x_pred"][k + 1])[..., None])[..., 0]
         p = sym(r["p"][k] + g @ (ps[k + 1] - r["p_pred"][k + 1]) @ np.swapaxes(g, -1, -2))
         xs[k], ps[k] = np.where(ok[:, None], x, r["x"][k]), np.where(ok[:, None, None], p, r["p"][k])
@@ -303,10 +308,10 @@ def fixed_lag(r, lag: int):
 def iterated(make, x0, p0, t, y, rounds: int, first="update", live=None, u=None):
     """Backward pass, then ``rounds`` times: restart from the smoothed first state with the original covariance."""
     r = run(make(), x0, p0, t, y, first, live, u)
-    xs, ps = rts(r)
+    xs, ps = rts(r, live)
     for _ in range(rounds):
         r = run(make(), xs[0], p0, t, y, first, live, u)
-        xs, ps = rts(r)
+        xs, ps = rts(r, live)
     return r, xs, ps
 
 

@@ -143,11 +143,10 @@ def filtered(
     def run(batches):
         ny = makers[default]().m.ny
         for series in whole_series(batches, ny, max(1, min(ROWS, ENTRIES // (n * n))), nu):
-            # a padded step would smooth the real ones, so with the full smoother series of equal length go together
             groups = {}
             for s in series:
-                groups.setdefault((default if s.model is None else s.model, len(s.t) if smoother == "full" else 0), []).append(s)
-            for (name, _), same in groups.items():
+                groups.setdefault(default if s.model is None else s.model, []).append(s)
+            for name, same in groups.items():
                 yield part(makers[name], same, ny)
 
     def part(maker, series, ny):
@@ -160,7 +159,7 @@ def filtered(
             p = np.stack([p0 if s.p0 is None else np.asarray(s.p0, float).reshape(n, n) for s in series])
         xs = ps = None
         if smoother == "full":
-            r, xs, ps = kernels.iterated(maker, x, p, t, y, rounds, first, u=u)
+            r, xs, ps = kernels.iterated(maker, x, p, t, y, rounds, first, live, u)
         else:
             r = kernels.run(f, x, p, t, y, first, live, u)
             if smoother == "fixed_lag":
